@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, decontam, langid, license_scan, media, token_store
+from gridloom.llm import bpe, decontam, langid, license_scan, line_dedup, media, superminhash, token_store
 
 #: Text of every document; nothing else of the table reaches an operator unless it is named.
 DOCUMENTS = ("doc_id", "text")
@@ -24,6 +24,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.groups(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.sniff(media.store_texts(table(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op5_licenses, op6_language, op7_token_store, op8_decontaminate, op9_media)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_near_dedup, op5_licenses, op6_language, op7_token_store, op8_decontaminate, op9_media, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op5_licenses": license_scan.oracle()}
