@@ -23,7 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from gridloom.llm.cluster import cut, extended, map_text
+from gridloom.llm.cluster import cut, ddl, extended, map_text
 
 # Unicode's White_Space property.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288)
@@ -186,7 +186,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         got = vocabulary(path).encode([t or "" for t in batch.column("text").to_pylist()])
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(got, pa.binary())], [key, "n_tokens", "ids"])
 
-    return map_text(df, key, text, run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids binary", SLICE)
+    return map_text(df, key, text, run, f"`{key}` {ddl(df, key)}, n_tokens long, ids binary", SLICE)
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:

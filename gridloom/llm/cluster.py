@@ -50,6 +50,21 @@ def extended(df: DataFrame, **more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in more.items())).fields])
 
 
+def ddl(df: DataFrame, column: str) -> str:
+    """The type of a column as a schema string has it, with names of fields quoted."""
+
+    def of(kind: T.DataType) -> str:
+        if isinstance(kind, T.StructType):
+            return f"struct<{','.join(f'`{f.name}`:{of(f.dataType)}' for f in kind.fields)}>"
+        if isinstance(kind, T.ArrayType):
+            return f"array<{of(kind.elementType)}>"
+        if isinstance(kind, T.MapType):
+            return f"map<{of(kind.keyType)},{of(kind.valueType)}>"
+        return kind.simpleString()
+
+    return of(df.schema[column].dataType)
+
+
 def cut(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` whose ``column`` holds about ``most`` bytes each; every row is in one of them."""
     if not batch.num_rows:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.cluster import map_text
+from gridloom.llm.cluster import ddl, map_text
 
 #: Length of the grams; edits allowed in a character of an item; shortest item; characters of items in one pass.
 Q, EDITS, LEAST, BLOCK_CHARS = 10, 0.08, 40, 4_000_000
@@ -200,7 +200,7 @@ def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text
     # Parts of small benchmarks go together: one pass as long as all of them stay within the bound.
     sizes = cut_up.agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
     passes = [None] if sizes <= BLOCK_CHARS else [tuple(r) for r in cut_up.select("part", "block").distinct().orderBy("part", "block").collect()]
-    kind, item_kind = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    kind, item_kind = ddl(df, key), ddl(items, item_key)
     found = []
     for block in passes:
         part = cut_up if block is None else cut_up.where((F.col("part") == block[0]) & (F.col("block") == block[1]))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.cluster import cut, map_text
+from gridloom.llm.cluster import cut, ddl, map_text
 
 #: Trigrams are hashed into this many buckets; weight of a bucket that a language lacks; steps of EM; least proportion.
 BUCKETS, SMOOTH, STEPS, LEAST = 1 << 16, 0.5, 12, 0.05
@@ -165,7 +165,14 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         sets = [[{"lang": names[k], "share": float(row[k])} for k in np.flatnonzero(row)] for row in share]
         yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(names[top], pa.string()), pa.array(share.max(1, initial=0), pa.float64()), pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], [key, "lang_pred", "score", "languages"])
 
-    return map_text(df, key, text, run, f"`{key}` {df.schema[key].dataType.simpleString()}, lang_pred string, score double, languages array<struct<lang:string,share:double>>", 1 << 19)
+    return map_text(df, key, text, run, f"`{key}` {ddl(df, key)}, lang_pred string, score double, languages array<struct<lang:string,share:double>>", 1 << 19)
+
+
+def labelled(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``df`` with ``lang_pred`` and ``score`` beside its columns, whatever they are, row for row."""
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"))
+    got = predict(whole, model, "row", "text")
+    return got.select("row.*", "lang_pred", "score")
 
 
 def held_out(key: Column) -> Column:

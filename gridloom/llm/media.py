@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.cluster import cut, extended, map_text
+from gridloom.llm.cluster import cut, ddl, extended, map_text
 
 SPAN = "struct<type:string,start:bigint,end:bigint>"
 
@@ -206,7 +206,7 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text", unit: in
         raw = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(x) for x in raw], pa.int64()), pa.array([wav(x.ljust(max(unit, -(-len(x) // unit) * unit), b"\0")) for x in raw], pa.binary())], [key, "n_bytes", "media"])
 
-    return map_text(df, key, text, run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return map_text(df, key, text, run, f"`{key}` {ddl(df, key)}, n_bytes long, media binary")
 
 
 def described(df: DataFrame) -> DataFrame:
@@ -228,6 +228,6 @@ def described(df: DataFrame) -> DataFrame:
 
     NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     key = df.columns[0]
-    kind = df.schema[key].dataType.simpleString()
+    kind = ddl(df, key)
     out = df.select(F.col(key).alias("key"), "n_bytes", "media", "media_type").mapInArrow(run, f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return out.withColumnRenamed("key", key)

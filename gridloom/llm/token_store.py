@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm.bpe import CACHED_CHARS, CACHED_PIECES, pieces
-from gridloom.llm.cluster import cut, stored, stored_path
+from gridloom.llm.cluster import cut, ddl, stored, stored_path
 
 #: Of the files. Keys and counts are delta encoded, ids get a dictionary as long as that is small.
 WRITER = {
@@ -79,7 +79,7 @@ def encoded(df: DataFrame, path: str, end: int, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(counts, pa.int32()), lists], [key, "n_tokens", "ids"])
 
     dealt = df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
-    return dealt.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens int, ids array<int>")
+    return dealt.mapInArrow(run, f"`{key}` {ddl(df, key)}, n_tokens int, ids array<int>")
 
 
 def write(df: DataFrame, to: str, path: str, end: int, key: str = "doc_id", text: str = "text") -> None:
