@@ -1,0 +1 @@
+"""Functions from integer coordinates to values, compiled to Spark DataFrame plans."""
