@@ -124,7 +124,7 @@ SCALARS: dict[str, tuple[Expr, str]] = {
     "p07_cast_int": (cast(i8, cast(i32, Q * 100.0)), _wrap_sql("trunc(q * 100)::BIGINT", 8, True)),
     "p07_cast_float32": (cast(f64, cast(f32, P)), "p::FLOAT::DOUBLE"),
     "p08_reinterpret_int": (E.reinterpret(u8, _i("a", i8)), _wrap_sql("a", 8, False)),
-    "p08_reinterpret_float": (E.reinterpret(f32, cast(u32, (A + 300) * 2097152 + 1000000000)), "(1 + ((((a + 300) * 2097152 + 1000000000) % 8388608)::DOUBLE / 8388608)) * pow(2.0, ((a + 300) * 2097152 + 1000000000) // 8388608 - 127)"),
+    "p08_reinterpret_float": (E.reinterpret(f32, cast(u32, (A + 300) * 100003 + 1040000000)), "(1 + ((((a + 300) * 100003 + 1040000000) % 8388608)::DOUBLE / 8388608)) * pow(2.0, ((a + 300) * 100003 + 1040000000) // 8388608 - 127)"),
     "p09_select": (E.select(A > B, A, B + 1), "CASE WHEN a > b THEN a ELSE b + 1 END"),
     "p10_select_many": (E.select(A < -100, A, A < 0, B, A < 100, A + B, A - B), "CASE WHEN a < -100 THEN a WHEN a < 0 THEN b WHEN a < 100 THEN a + b ELSE a - b END"),
     "p12_compare": (cast(i32, A < B) + cast(i32, A <= B) * 2 + cast(i32, A == B) * 4 + cast(i32, A != B) * 8 + cast(i32, A > B) * 16 + cast(i32, A >= B) * 32, "(a < b)::INT + (a <= b)::INT * 2 + (a = b)::INT * 4 + (a <> b)::INT * 8 + (a > b)::INT * 16 + (a >= b)::INT * 32"),
