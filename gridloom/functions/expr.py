@@ -363,10 +363,8 @@ def random_column(ids: list[Column]) -> Column:
         high = (F.shiftrightunsigned(inner, 16) * x).bitwiseAND(m) * 65536
         return ((low.bitwiseAND(m) + high.bitwiseAND(m)).bitwiseAND(m) + c0).bitwiseAND(m)
 
-    out = step(ids[0])
-    for i in ids[1:]:
-        out = step((out + i).bitwiseAND(m))
-    return out
+    # A fold, so that the hash so far is a variable and its expression isn't written out again at each use.
+    return F.aggregate(F.array(*ids), F.lit(0).cast("bigint"), lambda out, i: step((out + i).bitwiseAND(m)))
 
 
 def _lerp(a: Column, b: Column, w: Column, kind: Type, weight: Type) -> Column:

@@ -439,7 +439,7 @@ class Plan:
         taps: dict[tuple[str, ...], list[tuple[Expr, tuple[int, ...]]]] = {}
         for call in calls:
             offsets = [_offset(a) for a in call.args]
-            if all(offsets) and len({v for v, _ in offsets}) == len(offsets):
+            if offsets and all(offsets) and len({v for v, _ in offsets}) == len(offsets):
                 taps.setdefault(tuple(v for v, _ in offsets), []).append((call, tuple(d for _, d in offsets)))
             else:
                 self._join_computed(call, right, fill)
