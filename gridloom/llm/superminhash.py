@@ -5,9 +5,10 @@ the slot that it meets there, and a slot keeps the least offer. Ranks are drawn
 Fisher-Yates steps, and a document stops as soon as all its slots hold less than the next level could offer.
 
 Equal sets are one class. Bands of the signatures put classes into buckets. In a bucket every class is compared with the
-smallest key only; where that leaves a bucket in several components, members of different components are compared as
-well, so no link is lost and a bucket of copies costs as many comparisons as it has members. Sizes and one-bit sketches
-(a bound five standard deviations wide) drop hopeless pairs; the others are confirmed on full sets of 64-bit shingle hashes.
+smallest key first. Members that aren't linked with that are compared with the bucket's most central member, and those
+which that doesn't connect with the whole bucket, so no link is lost and a bucket of copies costs about as many
+comparisons as it has members. Sizes, sketches of the signatures (a bound four standard deviations wide) and the number of shingles that nothing
+else in such buckets has drop hopeless pairs; the others are confirmed on full sets of 64-bit shingle hashes.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; fewer words than a shingle
 has form one shingle; repeated rows give repeated results; a row with a null key is linked with nothing and its component is null.
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.cluster import cut, map_text, stored
 from gridloom.llm.components import components
 
-SKETCH_BITS = 256
+#: The sketch keeps four bits of each of so many slots, sixteen slots in a long.
+SLOTS = 256
+SKETCH = tuple(f"b{k}" for k in range(SLOTS // 16))
 U = np.uint64
 
 
@@ -68,7 +71,7 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     turns = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
     starts, stops = turns[::2], turns[1::2]
-    powers, inverse = _powers(1 << max(20, int(len(raw)).bit_length()))
+    powers, inverse = _powers(1 << max(19, int(len(raw)).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_letters()[raw] * powers[: len(raw)], dtype=np.uint64)])
     word = mixed((sums[stops] - sums[starts]) * inverse[starts])
     first = np.searchsorted(starts, edges)
@@ -110,7 +113,7 @@ def signatures(sets: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
         go = open_[doc]
         if level == 0:
             left = int(go.sum())
-            order = np.tile(np.arange(m, dtype=np.uint16), (left, 1))
+            order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (left, 1))
             order[np.arange(left), slot[go]] = 0
         else:
             order = order[go]
@@ -119,22 +122,23 @@ def signatures(sets: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
 
 
 def sketches(df: DataFrame, key: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """Per row: ``key``, ``n`` shingles, two sums that name the set, band hashes, and a one-bit sketch in four longs."""
+    """Per row: ``key``, ``n`` shingles, two sums that name the set, band hashes, and a sketch of four bits for each slot."""
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets, ends = shingles([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], size)
         n = np.diff(ends)
         total = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(np.stack([mixed(sets, 7777), mixed(sets, 9999)], 1), 0, dtype=np.uint64)])
         names = (total[ends[1:]] - total[ends[:-1]]).view(np.int64)
-        slots = mixed(signatures(sets, ends, max(SKETCH_BITS, bands * rows)).view(np.uint64))
-        bits = np.packbits((slots[:, :SKETCH_BITS] & U(1)).astype(np.uint8), axis=1).view(np.int64)
+        slots = mixed(signatures(sets, ends, max(SLOTS, bands * rows)).view(np.uint64))
+        nibbles = (slots[:, :SLOTS] & U(15)).astype(np.uint8)
+        bits = np.ascontiguousarray(nibbles[:, ::2] | nibbles[:, 1::2] << 4).view(np.int64)
         h = np.tile(np.arange(bands, dtype=np.uint64), (len(n), 1))
         for k in range(rows):
             h = mixed(h * U(0x100000001B3) + slots[:, k : bands * rows : rows])
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(n > 0, bands, 0))), pa.int32()), pa.array(h[n > 0].view(np.int64).reshape(-1)))
-        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n, pa.int64()), *(pa.array(names[:, k]) for k in range(2)), lists, *(pa.array(bits[:, k]) for k in range(4))], ["key", "n", "s1", "s2", "bands", "b0", "b1", "b2", "b3"])
+        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n, pa.int64()), *(pa.array(names[:, k]) for k in range(2)), lists, *(pa.array(bits[:, k]) for k in range(len(SKETCH)))], ["key", "n", "s1", "s2", "bands", *SKETCH])
 
-    return map_text(df.withColumn(key, F.col(key).cast("long")), key, text, run, "key long, n long, s1 long, s2 long, bands array<long>, b0 long, b1 long, b2 long, b3 long", 2 << 20)
+    return map_text(df.withColumn(key, F.col(key).cast("long")), key, text, run, "key long, n long, s1 long, s2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH), 1 << 19)
 
 
 def sets_of(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -165,12 +169,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _hopeful(percent: int, other: str) -> Column:
+def _beside(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as the other side of a pair: its key renamed, ``o_`` before all else."""
+    return df.toDF(*[key if c == "key" else f"o_{c}" for c in df.columns])
+
+
+def _alone(sets: DataFrame) -> DataFrame:
+    """``key`` and ``u``: how many of its shingles no other of ``sets`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in cut(batch, "items"):
+                items = np.frombuffer(b"".join(part.column("items").to_pylist()), np.int64)
+                sizes = np.array([len(x) // 8 for x in part.column("items").to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(np.repeat(part.column("key").to_numpy(), sizes))], ["item", "key"])
+
+    one = sets.mapInArrow(run, "item long, key long").groupBy("item").agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1")
+    return one.groupBy("key").agg(F.count("*").alias("u"))
+
+
+def _hopeful(percent: int) -> Column:
     """Whether sizes and sketches of a pair leave a chance of the threshold."""
-    equal = (1 + percent / 100) / 2
-    most = int(SKETCH_BITS * (1 - equal) + 5 * (SKETCH_BITS * equal * (1 - equal)) ** 0.5) + 1
-    apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"{other}b{k}"))) for k in range(4)), F.lit(0))
-    return (F.least("n", f"{other}n") * 100 >= F.greatest("n", f"{other}n") * percent) & (apart <= most)
+    other = (1 - percent / 100) * 15 / 16
+    most = int(SLOTS * other + 4 * (SLOTS * other * (1 - other)) ** 0.5) + 1
+
+    def unlike(c: str) -> Column:
+        x = F.col(c).bitwiseXOR(F.col(f"o_{c}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    apart = sum(map(unlike, SKETCH), F.lit(0))
+    return (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent) & (apart <= most)
+
+
+def _possible(percent: int) -> Column:
+    """Whether the shingles that others have too are enough for the threshold."""
+    common = F.least(F.col("n") - F.col("u"), F.col("o_n") - F.col("o_u"))
+    return common * 100 >= (F.col("n") + F.col("o_n") - common) * percent
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -180,37 +215,44 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     real = every.where("n > 0 and key is not null")
     classes = stored(real.groupBy("n", "s1", "s2").agg(F.min("key").alias("rep")), "set-classes")
     one = real.join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
-    small = one.select("key", "n", "b0", "b1", "b2", "b3")
+    small = one.select("key", "n", *SKETCH)
     keys = one.select("key", F.explode("bands").alias("bucket"))
-    buckets = keys.groupBy("bucket").agg(F.min("key").alias("rep"), F.max("key").alias("last")).where("rep <> last")
+    buckets = keys.groupBy("bucket").agg(F.min("key").alias("rep"), F.max("key").alias("last"), F.count("*").alias("n")).where("rep <> last")
     members = stored(keys.join(buckets.drop("last"), "bucket"), "buckets")
-    beside = small.select(F.col("key").alias("other"), *[F.col(c).alias(f"o_{c}") for c in small.columns[1:]])
 
-    stars = members.where("key <> rep").select("key", F.col("rep").alias("other")).distinct()
-    stars = stored(stars.join(small, "key").join(beside, "other").where(_hopeful(percent, "o_")).select(F.col("key").alias("a"), F.col("other").alias("b")), "stars")
+    # Sets of all that share a bucket, from one pass over the texts. The join is always by shuffle: its cost follows the input.
+    texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    sets = stored(sets_of(texts.join(members.select("key").distinct().hint("merge"), "key", "left_semi"), "key", "text", size).dropDuplicates(["key"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-        texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(ids, "key", "left_semi")
-        sets = stored(sets_of(texts, "key", "text", size).dropDuplicates(["key"]), "sets")
-        return stored(_confirmed(pairs, sets, percent), "links")
+        return stored(_confirmed(stored(pairs.select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct(), "pairs"), sets, percent), "links")
 
-    links = confirmed(stars)
+    stars = members.where("key <> rep").select("key", F.col("rep").alias("other")).distinct()
+    links = confirmed(stars.join(small, "key").join(_beside(small, "other"), "other").where(_hopeful(percent)))
+    # Members that aren't linked with the representative, where the bucket has a third that they may be linked with.
+    linked = links.select(F.col("a").alias("key"), F.col("b").alias("hub"))
+    others = members.where("key <> rep and n > 2")
+    apart = stored(others.join(linked.withColumnRenamed("hub", "rep"), ["key", "rep"], "left_anti").select("bucket", "key", "rep"), "apart")
+    if not apart.isEmpty():
+        split = stored(members.join(apart.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "key", "rep").distinct(), "split-buckets")
+        inside = split.select("key").distinct()
+        # A shingle that no other text there has can be in no intersection.
+        alone = _alone(sets.join(inside, "key", "left_semi"))
+        known = stored(small.join(inside, "key", "left_semi").join(alone, "key", "left").withColumn("u", F.coalesce("u", F.lit(0))), "profiles")
+        central = split.join(known, "key").groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "key")).getField("key").alias("hub"))
+        central = central.join(split.select("bucket", "rep").distinct(), "bucket").join(linked.select(F.col("key").alias("hub"), F.col("hub").alias("rep"), F.lit(True).alias("joined")), ["hub", "rep"], "left")
+        central = stored(central.select("bucket", "hub", (F.col("hub") == F.col("rep")) | F.coalesce("joined", F.lit(False))), "centers").toDF("bucket", "hub", "joined")
+        left = apart.join(known, "key")
+        toward = left.join(central, "bucket").join(_beside(known, "hub"), "hub").where((F.col("key") != F.col("hub")) & _hopeful(percent) & _possible(percent))
+        near = confirmed(toward.select("key", F.col("hub").alias("other")))
+        # Whoever reaches the representative through the center is done; the rest meets the whole bucket.
+        both = near.select(F.col("a").alias("key"), F.col("b").alias("hub")).unionAll(near.select(F.col("b").alias("key"), F.col("a").alias("hub")))
+        done = apart.join(central.where("joined"), "bucket").join(both, ["key", "hub"], "left_semi").select("bucket", "key")
+        rest = apart.join(done, ["bucket", "key"], "left_anti").join(known, "key")
+        whole = split.select("bucket", F.col("key").alias("other")).join(_beside(known, "other"), "other")
+        pairs = rest.join(whole, "bucket").where((F.col("key") != F.col("other")) & _hopeful(percent) & _possible(percent))
+        links = links.unionAll(near).unionAll(confirmed(pairs.select("key", "other")))
     parts = stored(components(links), "parts")
-    # Buckets that are still in several parts, and their members that aren't in the representative's.
-    placed = members.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
-    placed = placed.join(parts.select(F.col("node").alias("rep"), F.col("component").alias("rep_part")), "rep", "left").withColumn("rep_part", F.coalesce("rep_part", "rep"))
-    placed = stored(placed, "placed")
-    split = placed.where("part <> rep_part")
-    whole = placed.join(split.groupBy("bucket").agg(F.count("*").alias("apart")), "bucket", "left_semi").where("key <> rep").select("bucket", "key", "part").join(small, "key")
-    left = split.select("bucket", "key", "part").join(small, "key")
-    far = whole.select("bucket", F.col("key").alias("other"), F.col("part").alias("other_part"), *[F.col(c).alias(f"o_{c}") for c in small.columns[1:]])
-    more = left.join(far, "bucket").where((F.col("part") != F.col("other_part")) & _hopeful(percent, "o_"))
-    more = stored(more.select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct(), "more-pairs")
-    if not more.isEmpty():
-        found = confirmed(more)
-        if not found.isEmpty():
-            parts = stored(components(links.unionAll(found)), "parts")
 
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     got = every.select("key", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
