@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import random
 import re
 import zlib
 from collections import Counter
@@ -266,6 +267,36 @@ def test_line_hashes(spark):
     assert got[2] is None
 
 
+def test_similar_lines_are_found(spark, monkeypatch):
+    """Every pair that brute force finds similar is connected, with common runs moved back and without."""
+    rng, lines = random.Random(10), []
+    for n in [4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15, 16, 19, 20, 24, 25, 30, 40, 50, 60] * 3:
+        base = [f"w{rng.randrange(2000)}" for _ in range(n)]
+        lines.append(base)
+        for _ in range(2):
+            w = list(base)
+            for _ in range(max(1, n // 5)):
+                k, how = rng.randrange(len(w)), rng.randrange(3)
+                w[k : k + (how < 2)] = [f"v{rng.randrange(2000)}"] * (how != 0)
+            lines.append(w)
+
+    def near(a, b):
+        return edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+
+    pairs = {(i, j) for j in range(len(lines)) for i in range(j) if min(len(lines[i]), len(lines[j])) * 5 >= max(len(lines[i]), len(lines[j])) * 4 and near(lines[i], lines[j])}
+    assert len(pairs) > 80
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lines)], "doc_id long, text string").cache()
+    group = list(range(len(lines)))
+    for _ in lines:
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    want = {k for k, g in enumerate(group) if g != k}
+    for sample, common in ((16, 4), (1, 2)):
+        monkeypatch.setattr(line_dedup, "SAMPLE", sample)
+        monkeypatch.setattr(line_dedup, "COMMON", common)
+        assert {r.doc_id for r in line_dedup.report(df).where("n_removed > 0").collect()} == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x = "</p>";</script></head><body class="no-sidebar">
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="site-header">Top</div><div class="cookie-notice">We use cookies</div>
 <div class="post-12 content"><h1>Title &amp; more</h1><p>First <b>bold</b>
