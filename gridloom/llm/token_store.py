@@ -4,7 +4,8 @@ Documents are dealt out by ranges of their key and sorted before they are encode
 keys; a reader that wants a few keys, or only the counts, opens only row groups, pages and columns that hold them.
 
 The ids of a text are those of the tokenizers library: texts are cut into pieces as in :mod:`gridloom.llm.bpe`, and the
-library's model gives the ids of every distinct piece. Strings of special tokens in a text count as ordinary text.
+library's model gives the ids of every distinct piece. A text that holds an added token of the file (such as a special
+one) is given whole to the library, which knows what each of them takes of its surroundings.
 
 Defined results: a null text counts as empty and gives the end id alone; rows with equal keys stay separate rows, side by
 side, in the order of their texts; null keys come first; an empty table gives no files' rows; other columns are not read.
@@ -43,12 +44,17 @@ class Pieces(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.model = Tokenizer.from_file(path).model
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # Byte-level vocabularies write byte b as a printable character: itself where it is one, else from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
+    def of_text(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         got = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
         if len(piece) <= CACHED_CHARS:
@@ -70,9 +76,13 @@ def encoded(df: DataFrame, path: str, end: int, key: str = "doc_id", text: str =
         ids_of, last = tokenizer(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             for part in cut(batch, "text"):
-                found, before = pieces([t or "" for t in part.column("text").to_pylist()])
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                special = {k: ids_of.of_text(t) for k, t in enumerate(texts) if any(a in t for a in ids_of.added)}
+                found, before = pieces(["" if k in special else t for k, t in enumerate(texts)])
                 ids = list(map(ids_of.__getitem__, found))
                 rows = [b"".join((*ids[a:b], last)) for a, b in zip(before.tolist(), before.tolist()[1:], strict=False)]
+                for k, whole in special.items():
+                    rows[k] = whole + last
                 counts = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
                 values = pa.array(np.frombuffer(b"".join(rows), np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)

@@ -74,6 +74,17 @@ def test_token_store(spark, docs, texts):
     assert got == want
 
 
+def test_token_store_added_tokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, texts = Tokenizer.from_file(path), ["a b", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  it's\n", "<|endoftext", None]
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.written_places(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    at = 0
+    for k, t in enumerate(texts):
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got[k] == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_token_store_reads_a_part(spark, docs, tmp_path):
     at = f"file://{tmp_path}/ids"
     token_store.write(docs, at, public_tokenizers.path("byte_bpe_50k.json"), 2)
