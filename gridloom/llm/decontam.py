@@ -24,6 +24,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,17 +195,21 @@ def blocks(items: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("block", F.floor(F.sum(F.length("text").cast("long")).over(along) / BLOCK_CHARS))
 
 
-def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each place where an item stands in a text: ``key``, ``item_id``, ``start``, ``end`` (code points), ``edits``, ``similarity``."""
-    cut_up = blocks(items, item_key, item_text)
+def passes(items: DataFrame, key: str, text: str) -> Iterator[Broadcast[Index]]:
+    """The items' indexes, each of a bounded size."""
+    cut_up = blocks(items, key, text)
     # Parts of small benchmarks go together: one pass as long as all of them stay within the bound.
     sizes = cut_up.agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
-    passes = [None] if sizes <= BLOCK_CHARS else [tuple(r) for r in cut_up.select("part", "block").distinct().orderBy("part", "block").collect()]
+    for block in [None] if sizes <= BLOCK_CHARS else [tuple(r) for r in cut_up.select("part", "block").distinct().orderBy("part", "block").collect()]:
+        part = cut_up if block is None else cut_up.where((F.col("part") == block[0]) & (F.col("block") == block[1]))
+        yield items.sparkSession.sparkContext.broadcast(index([(r["item"], r["text"]) for r in part.select("item", "text").orderBy("item", "text").collect()]))
+
+
+def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row for each place where an item stands in a text: ``key``, ``item_id``, ``start``, ``end`` (code points), ``edits``, ``similarity``."""
     kind, item_kind = ddl(df, key), ddl(items, item_key)
     found = []
-    for block in passes:
-        part = cut_up if block is None else cut_up.where((F.col("part") == block[0]) & (F.col("block") == block[1]))
-        shared = df.sparkSession.sparkContext.broadcast(index([(r["item"], r["text"]) for r in part.select("item", "text").orderBy("item", "text").collect()]))
+    for shared in passes(items, item_key, item_text):
 
         def run(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
             known: Index = shared.value
@@ -220,6 +225,16 @@ def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def clean(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``df`` in which no item stands. Rows without a key are judged like the others and kept if clean."""
-    hit = find(df, items, key, text, item_key, item_text).select(F.col(key).alias("hit")).distinct()
-    return df.join(hit, df[key].eqNullSafe(hit["hit"]), "left_anti")
+    """The rows of ``df`` in which no item stands, each judged alone, whatever its ``key``."""
+    # The row goes through with its text, so rows with equal keys or none are told apart.
+    names = [F.col(f"`{c}`") for c in df.columns]
+    for shared in passes(items, item_key, item_text):
+        whole = df.select(F.struct(*names).alias("row"), F.col(text).alias("text"))
+
+        def run(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[r[0] for r in matches(shared.value, [t or "" for t in batch.column("text").to_pylist()])]] = False
+            yield pa.RecordBatch.from_arrays([batch.column("key").filter(pa.array(clean))], ["row"])
+
+        df = map_text(whole, "row", "text", run, f"row {ddl(whole, 'row')}").select("row.*")
+    return df

@@ -233,6 +233,14 @@ def test_decontamination(spark, sf_dir, docs):
     assert kept == {r.doc_id for r in table.collect()} - {r.doc_id for r in got}
 
 
+def test_clean_rows_stay(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    item = items.orderBy("item_id").first().text
+    rows = [(None, f"x {item} y"), (None, "clean"), (1, item), (1, "also clean"), (2, None)]
+    got = decontam.clean(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
 def test_media(docs, texts):
     got = media.described(media.sniff(media.store_texts(docs))).collect()
     pad = lambda t: t.encode().ljust(max(64, -(-len(t.encode()) // 64) * 64), b"\0")
