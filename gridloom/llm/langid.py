@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.cluster import cut, ddl, map_text
 
-#: Trigrams are hashed into this many buckets; weight of a bucket that a language lacks; steps of EM; least proportion.
-BUCKETS, SMOOTH, STEPS, LEAST = 1 << 16, 0.5, 12, 0.05
+#: Trigrams are hashed into this many buckets; weight of a bucket that a language lacks; steps of EM.
+BUCKETS, SMOOTH, STEPS = 1 << 16, 0.5, 12
 UNKNOWN = "und"
 
 
@@ -133,10 +133,9 @@ def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     best[np.arange(len(there)), first] = 1
     score = alone.max(1)
     penalty = 0.5 * np.log(np.maximum(np.add.reduceat(n, edges), 2))
-    # The next language is tried only while the last one paid and has a proportion worth naming.
+    # The next language is tried only while the last one paid.
     growing = np.arange(len(there))
     for size in range(2, width + 1):
-        growing = growing[full[growing, order[growing, size - 1]] >= LEAST]
         if not len(growing):
             break
         rows = np.flatnonzero(np.isin(doc, growing))

@@ -205,6 +205,14 @@ def test_language_without_training(none, docs):
     assert {r.lang_pred for r in langid.predict(docs, langid.train(none)).collect()} == {"und"}
 
 
+def test_language_of_a_small_part(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = {c: " ".join(r.text for r in table.where(F.col("lang") == c).where("text is not null").orderBy("doc_id").collect()).split() for c in ("de", "fr")}
+    text = " ".join((words["de"] * 20)[:19_200] + words["fr"][:800])
+    got = langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), langid.train(table)).first()
+    assert got.lang_pred == "de" and {x["lang"] for x in got.languages} >= {"de", "fr"}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
