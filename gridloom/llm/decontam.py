@@ -10,8 +10,10 @@ programming, and those within the budget are reported.
 Texts never leave the task that read them. The items' index goes to every task; items are taken in blocks of at most
 ``BLOCK_CHARS`` characters, so what is broadcast has a fixed bound and a larger benchmark takes more passes.
 
-Defined results: null or empty texts and items match nothing; an item shorter than ``LEAST`` normalised characters is
-too short to accuse a text and is left out; repeated rows are reported for each row; of matches of one item that
+An item shorter than ``LEAST`` normalised characters has too few grams for that; it matches where it stands word for word,
+by hashes of as many words as it has, compared character by character where they are equal.
+
+Defined results: null or empty texts and items match nothing, nor do items without letter or digit; repeated rows are reported for each row; of matches of one item that
 overlap in a text the one with fewest edits stays, the first of equals; other columns are not read.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.cluster import ddl, map_text
 
-#: Length of the grams; edits allowed in a character of an item; shortest item; characters of items in one pass.
+#: Length of the grams; edits allowed in a character of an item; shortest item that may be edited; characters of items in one pass.
 Q, EDITS, LEAST, BLOCK_CHARS = 10, 0.08, 40, 4_000_000
 
 
@@ -87,21 +89,52 @@ class Index:
     items: np.ndarray
     places: np.ndarray
     bits: np.ndarray
+    #: Of items shorter than ``LEAST``, by their number of words: sorted hashes and the items.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def word_hashes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of a normalised row starts and ends, and its hash."""
+    real = np.concatenate([[False], points != 32, [False]])
+    starts, ends = np.flatnonzero(real[1:] & ~real[:-1]), np.flatnonzero(real[:-1] & ~real[1:])
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    lead = starts[0]
+    at = np.arange(len(points)) - np.concatenate([np.zeros(lead, np.int64), np.repeat(starts, np.diff(np.append(starts, len(points))))])
+    powers = np.cumprod(np.full(int(at.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.append(np.uint64(0), np.cumsum(np.where(real[1:-1], points.astype(np.uint64) * powers[at], np.uint64(0)), dtype=np.uint64))
+    out = sums[ends] - sums[starts]
+    return starts, ends, (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def joined(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the ``k`` words from each on; there are none for the last ``k - 1``."""
+    out = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    for j in range(k if len(out) else 0):
+        out = out * np.uint64(0xC2B2AE3D27D4EB4F) + words[j : j + len(out)]
+    return out
 
 
 def index(rows: list[tuple[object, str]]) -> Index:
     points, owner, _ = normalised([t for _, t in rows])
     edges = np.searchsorted(owner, np.arange(len(rows) + 1))
-    kept = [(i, p) for i, a, b in zip([i for i, _ in rows], edges, edges[1:], strict=False) if len(p := points[a:b][: -1 if b > a and points[b - 1] == 32 else None]) >= LEAST]
+    kept = [(i, p) for i, a, b in zip([i for i, _ in rows], edges, edges[1:], strict=False) if len(p := points[a:b][: -1 if b > a and points[b - 1] == 32 else None])]
+    kept.sort(key=lambda item: len(item[1]) < LEAST)  # short ones last
+    n_long = sum(len(p) >= LEAST for _, p in kept)
     lengths = np.array([len(p) for _, p in kept], np.int64)
-    grams = [gram_hashes(p)[: len(p) - Q + 1] for _, p in kept]
+    grams = [gram_hashes(p)[: len(p) - Q + 1] for _, p in kept[:n_long]]
     hashes = np.concatenate([np.zeros(0, np.uint64), *grams])
-    items = np.repeat(np.arange(len(kept)), [len(g) for g in grams])
+    items = np.repeat(np.arange(n_long), [len(g) for g in grams])
     places = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
     order = np.argsort(hashes, kind="stable")
     bits = np.zeros(1 << 22, bool)
     bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-    return Index([i for i, _ in kept], [p for _, p in kept], lengths, hashes[order], items[order], places[order], bits)
+    short: dict[int, list[tuple[int, int]]] = {}
+    for i, (_, p) in enumerate(kept[n_long:], n_long):
+        words = word_hashes(p)[2]
+        short.setdefault(len(words), []).append((int(joined(words, len(words))[0]), i))
+    by_words = {k: (np.array([h for h, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)])) for k, v in short.items()}
+    return Index([i for i, _ in kept], [p for _, p in kept], lengths, hashes[order], items[order], places[order], bits, by_words)
 
 
 def budget(m: int) -> int:
@@ -140,8 +173,37 @@ def align(text: np.ndarray, item: np.ndarray, e: int) -> tuple[int, int, int] |
 def matches(known: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """For each match: number of the text, number of the item, start and end in the text, edits."""
     points, owner, places = normalised(texts)
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    _short(known, points, owner, places, found)
+    _long(known, points, owner, places, len(texts), found)
+    out = []
+    for (d, i), spans in found.items():
+        taken: list[tuple[int, int]] = []
+        for cost, a, z in sorted(set(spans)):
+            if all(z <= p or a >= q for p, q in taken):
+                taken.append((a, z))
+                out.append((d, i, a, z, cost))
+    return sorted(out)
+
+
+def _short(known: Index, points: np.ndarray, owner: np.ndarray, places: np.ndarray, found: dict[tuple[int, int], list[tuple[int, int, int]]]) -> None:
+    if not known.short:
+        return
+    starts, ends, words = word_hashes(points)
+    for k, (hashes, items) in known.short.items():
+        here = joined(words, k)
+        low, high = np.searchsorted(hashes, here, "left"), np.searchsorted(hashes, here, "right")
+        for w in np.flatnonzero(high > low).tolist():
+            a, z = int(starts[w]), int(ends[w + k - 1])
+            if owner[a] == owner[z - 1]:
+                for i in items[low[w] : high[w]].tolist():
+                    if np.array_equal(points[a:z], known.points[i]):
+                        found.setdefault((int(owner[a]), i), []).append((0, int(places[a]), int(places[z - 1]) + 1))
+
+
+def _long(known: Index, points: np.ndarray, owner: np.ndarray, places: np.ndarray, n_texts: int, found: dict[tuple[int, int], list[tuple[int, int, int]]]) -> None:
     if len(points) < Q or not len(known.hashes):
-        return []
+        return
     hashes = gram_hashes(points)
     at = np.flatnonzero(known.bits[(hashes & np.uint64(len(known.bits) - 1)).astype(np.int64)])
     at = at[(at + Q <= len(points))]
@@ -150,7 +212,7 @@ def matches(known: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
     n = np.searchsorted(known.hashes, hashes[at], "right") - low
     at, low, n = at[n > 0], low[n > 0], n[n > 0]
     if not len(at):
-        return []
+        return
     hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
     place, item = np.repeat(at, n), known.items[hit]
     diagonal = place - known.places[hit]  # in the row of all texts; an item that begins before its text is cut off there
@@ -170,20 +232,11 @@ def matches(known: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
     m = known.lengths[item]
     e = (m * EDITS).astype(np.int64)
     full = shared >= np.maximum(1, m + 1 - Q * (e + 1))
-    first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    first = np.searchsorted(owner, np.arange(n_texts + 1))
     for d, i, b, w, k in zip(doc[full].tolist(), item[full].tolist(), band[full].tolist(), (2 * e + 1)[full].tolist(), e[full].tolist(), strict=True):
         a, z = max(int(first[d]), b * w - k), min(int(first[d + 1]), (b + 2) * w + int(known.lengths[i]) + k)
         if z > a and (got := align(points[a:z], known.points[i], k)):
             found.setdefault((d, i), []).append((got[0], int(places[a + got[1]]), int(places[a + got[2] - 1]) + 1))
-    out = []
-    for (d, i), spans in found.items():
-        taken: list[tuple[int, int]] = []
-        for cost, a, z in sorted(set(spans)):
-            if all(z <= p or a >= q for p, q in taken):
-                taken.append((a, z))
-                out.append((d, i, a, z, cost))
-    return sorted(out)
 
 
 def blocks(items: DataFrame, key: str, text: str) -> DataFrame:

@@ -241,6 +241,13 @@ def test_decontamination(spark, sf_dir, docs):
     assert kept == {r.doc_id for r in table.collect()} - {r.doc_id for r in got}
 
 
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "Who wrote it?"), (2, "yes"), (3, "?!"), (4, "a a"), (5, "Who wrote it?")], "item_id long, text string")
+    texts = ["So: who  WROTE it", "whowrote it", "Who wrote its", "Yesterday; yes", "a a a", "who", "wrote it", None, " -- who wrote, it"]
+    got = {(r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontam.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()}
+    assert got == {(0, 1, 4, 17, 0), (0, 5, 4, 17, 0), (3, 2, 11, 14, 0), (4, 4, 0, 3, 0), (8, 1, 4, 17, 0), (8, 5, 4, 17, 0)}
+
+
 def test_clean_rows_stay(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     item = items.orderBy("item_id").first().text
