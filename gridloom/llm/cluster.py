@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,12 +17,14 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own is set only where that is unset (tests, local mode)."""
+    """The folder of ``spark.checkpoint.dir``, or the context's own; without either there is nowhere that all machines see."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.sparkContext.setCheckpointDir(there)
-    elif not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # One machine, so its own folder is shared.
+        there = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(there)
     return there
 
@@ -31,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: lineage is cut and a lost executor loses nothing."""
     path = stored_path(df.sparkSession, name)
-    df.write.options(**(options or {})).parquet(path)
+    df.write.options(**(options or {"compression": "zstd"})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,10 +40,12 @@ def stored_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Deletes a table of :func:`stored` that nothing reads any more."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table of :func:`stored` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def extended(df: DataFrame, **more: str) -> T.StructType:
@@ -77,12 +80,12 @@ def cut(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator
             yield batch.slice(a, b - a)
 
 
-def map_text(df: DataFrame, key: str, text: str, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
-    """``fn`` over slices with the two columns ``key`` and ``text``, whatever else ``df`` carries."""
+def map_text(df: DataFrame, key: str, text: str, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, most: int = SLICE_BYTES, more: tuple[Column, ...] = ()) -> DataFrame:
+    """``fn`` over slices with the two columns ``key`` and ``text``, and ``more``, whatever else ``df`` carries."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cut(batch, "text", most):
                 yield from fn(part)
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text"), *more).mapInArrow(run, schema)

@@ -1,7 +1,8 @@
 """Connected components of a graph held as rows, by alternating large and small stars.
 
 Nothing of the graph reaches the driver but two figures for each round. Minima are pre-aggregated before each shuffle and
-joined back, so a node with very many neighbours is a skewed join, which Spark splits, and not one task's group.
+written before they are joined back, so a node with very many neighbours is a skewed join, which Spark splits, and not one
+task's group.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.cluster import stored
+from gridloom.llm.cluster import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,10 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
     while (mark := now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()) != was and mark[0]:
         was = mark
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("least").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*")
-        now = stored(small.where("a <> b").distinct(), "edges")
+        least = stored(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")), "least")
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("least").alias("b")).distinct(), "large")
+        lower = stored(large.groupBy("a").agg(F.min("b").alias("least")), "lower")
+        small = large.join(lower, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*")
+        last, now = now, stored(small.where("a <> b").distinct(), "edges")
+        for df in (last, least, large, lower):
+            dropped(df)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
