@@ -4,14 +4,15 @@ Each word shingle has a pseudo-random permutation of the signature's slots: at i
 the slot that it meets there, and a slot keeps the least offer. Ranks are drawn level by level over a whole batch, by
 Fisher-Yates steps, and a document stops as soon as all its slots hold less than the next level could offer.
 
-Equal sets are one class. Bands of the signatures put classes into buckets. In a bucket every class is compared with the
-smallest key first. Members that aren't linked with that are compared with the bucket's most central member, and those
-which that doesn't connect with the whole bucket, so no link is lost and a bucket of copies costs about as many
-comparisons as it has members. Sizes, sketches of the signatures (a bound four standard deviations wide) and the number of shingles that nothing
+Equal sets are one class, named by a 128-bit sum over its shingles. Bands of the signatures put classes into buckets. In a
+bucket every class is compared with the smallest name first, and what isn't linked with that with the bucket's most central
+member. Members that no links, of whatever bucket, have connected with each other by then are compared with each other, so
+no component is split and a bucket of copies costs about as many comparisons as it has members. Sizes, sketches of the signatures (a bound four standard deviations wide) and the number of shingles that nothing
 else in such buckets has drop hopeless pairs; the others are confirmed on full sets of 64-bit shingle hashes.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; fewer words than a shingle
-has form one shingle; repeated rows give repeated results; a row with a null key is linked with nothing and its component is null.
+has form one shingle; repeated rows give repeated results; rows with equal keys and different texts are judged apart, each by
+its own text; a row with a null key is linked with nothing and its component is null.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.cluster import cut, map_text, stored
+from gridloom.llm.cluster import cut, dropped, map_text, stored
 from gridloom.llm.components import components
 
 #: The sketch keeps four bits of each of so many slots, sixteen slots in a long.
@@ -121,14 +122,19 @@ def signatures(sets: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def names_of(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two sums that name each set."""
+    total = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(np.stack([mixed(sets, 7777), mixed(sets, 9999)], 1), 0, dtype=np.uint64)])
+    return (total[ends[1:]] - total[ends[:-1]]).view(np.int64)
+
+
 def sketches(df: DataFrame, key: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """Per row: ``key``, ``n`` shingles, two sums that name the set, band hashes, and a sketch of four bits for each slot."""
+    """Per row: ``key``, ``mark`` of its text, ``n`` shingles, two sums that name the set, band hashes, and a sketch of four bits for each slot."""
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets, ends = shingles([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], size)
         n = np.diff(ends)
-        total = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(np.stack([mixed(sets, 7777), mixed(sets, 9999)], 1), 0, dtype=np.uint64)])
-        names = (total[ends[1:]] - total[ends[:-1]]).view(np.int64)
+        names = names_of(sets, ends)
         slots = mixed(signatures(sets, ends, max(SLOTS, bands * rows)).view(np.uint64))
         nibbles = (slots[:, :SLOTS] & U(15)).astype(np.uint8)
         bits = np.ascontiguousarray(nibbles[:, ::2] | nibbles[:, 1::2] << 4).view(np.int64)
@@ -136,17 +142,17 @@ def sketches(df: DataFrame, key: str, text: str, size: int, bands: int, rows: in
         for k in range(rows):
             h = mixed(h * U(0x100000001B3) + slots[:, k : bands * rows : rows])
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(n > 0, bands, 0))), pa.int32()), pa.array(h[n > 0].view(np.int64).reshape(-1)))
-        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n, pa.int64()), *(pa.array(names[:, k]) for k in range(2)), lists, *(pa.array(bits[:, k]) for k in range(len(SKETCH)))], ["key", "n", "s1", "s2", "bands", *SKETCH])
+        yield pa.RecordBatch.from_arrays([part.column("key"), part.column("mark"), pa.array(n, pa.int64()), *(pa.array(names[:, k]) for k in range(2)), lists, *(pa.array(bits[:, k]) for k in range(len(SKETCH)))], ["key", "mark", "n", "s1", "s2", "bands", *SKETCH])
 
-    return map_text(df.withColumn(key, F.col(key).cast("long")), key, text, run, "key long, n long, s1 long, s2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH), 1 << 19)
+    return map_text(df.withColumn(key, F.col(key).cast("long")), key, text, run, "key long, mark long, n long, s1 long, s2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH), 1 << 19, (F.xxhash64(text).alias("mark"),))
 
 
 def sets_of(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``key`` and ``items`` (sorted distinct shingle hashes, binary) of each row."""
+    """``key`` (the first name of the set) and ``items`` (sorted distinct shingle hashes, binary) of each row."""
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets, ends = shingles([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], size)
-        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([sets[a:b].tobytes() for a, b in zip(ends.tolist(), ends.tolist()[1:], strict=False)], pa.binary())], ["key", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array(names_of(sets, ends)[:, 0]), pa.array([sets[a:b].tobytes() for a, b in zip(ends.tolist(), ends.tolist()[1:], strict=False)], pa.binary())], ["key", "items"])
 
     return map_text(df.withColumn(key, F.col(key).cast("long")), key, text, run, "key long, items binary")
 
@@ -208,24 +214,30 @@ def _possible(percent: int) -> Column:
     return common * 100 >= (F.col("n") + F.col("o_n") - common) * percent
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` (the smallest key it reaches) and ``kept`` for each row."""
+def _judged(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """``key``, ``mark`` of the text, ``n`` shingles and ``component_id`` of each row."""
     bands, rows = bands_for(percent)
     every = stored(sketches(df, key, text, size, bands, rows), "sketches")
     real = every.where("n > 0 and key is not null")
-    classes = stored(real.groupBy("n", "s1", "s2").agg(F.min("key").alias("rep")), "set-classes")
-    one = real.join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
+    classes = stored(real.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")), "set-classes")
+    # From here on a class goes by its first name; ``doc`` is where its text is found.
+    one = real.join(classes, ["key", "n", "s1", "s2"], "left_semi").withColumnRenamed("key", "doc").withColumnRenamed("s1", "key")
     small = one.select("key", "n", *SKETCH)
-    keys = one.select("key", F.explode("bands").alias("bucket"))
+    keys = one.select("key", "doc", F.explode("bands").alias("bucket"))
     buckets = keys.groupBy("bucket").agg(F.min("key").alias("rep"), F.max("key").alias("last"), F.count("*").alias("n")).where("rep <> last")
     members = stored(keys.join(buckets.drop("last"), "bucket"), "buckets")
 
     # Sets of all that share a bucket, from one pass over the texts. The join is always by shuffle: its cost follows the input.
     texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    sets = stored(sets_of(texts.join(members.select("key").distinct().hint("merge"), "key", "left_semi"), "key", "text", size).dropDuplicates(["key"]), "sets")
+    sets = stored(sets_of(texts.join(members.select(F.col("doc").alias("key")).distinct().hint("merge"), "key", "left_semi"), "key", "text", size).dropDuplicates(["key"]), "sets")
+    done = [classes, members, sets]
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return stored(_confirmed(stored(pairs.select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct(), "pairs"), sets, percent), "links")
+        tried = stored(pairs.select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct(), "pairs")
+        found = stored(_confirmed(tried, sets, percent), "links")
+        dropped(tried)
+        done.append(found)
+        return found
 
     stars = members.where("key <> rep").select("key", F.col("rep").alias("other")).distinct()
     links = confirmed(stars.join(small, "key").join(_beside(small, "other"), "other").where(_hopeful(percent)))
@@ -233,34 +245,47 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     linked = links.select(F.col("a").alias("key"), F.col("b").alias("hub"))
     others = members.where("key <> rep and n > 2")
     apart = stored(others.join(linked.withColumnRenamed("hub", "rep"), ["key", "rep"], "left_anti").select("bucket", "key", "rep"), "apart")
+    done.append(apart)
     if not apart.isEmpty():
         split = stored(members.join(apart.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "key", "rep").distinct(), "split-buckets")
         inside = split.select("key").distinct()
         # A shingle that no other text there has can be in no intersection.
         alone = _alone(sets.join(inside, "key", "left_semi"))
         known = stored(small.join(inside, "key", "left_semi").join(alone, "key", "left").withColumn("u", F.coalesce("u", F.lit(0))), "profiles")
-        central = split.join(known, "key").groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "key")).getField("key").alias("hub"))
-        central = central.join(split.select("bucket", "rep").distinct(), "bucket").join(linked.select(F.col("key").alias("hub"), F.col("hub").alias("rep"), F.lit(True).alias("joined")), ["hub", "rep"], "left")
-        central = stored(central.select("bucket", "hub", (F.col("hub") == F.col("rep")) | F.coalesce("joined", F.lit(False))), "centers").toDF("bucket", "hub", "joined")
-        left = apart.join(known, "key")
-        toward = left.join(central, "bucket").join(_beside(known, "hub"), "hub").where((F.col("key") != F.col("hub")) & _hopeful(percent) & _possible(percent))
-        near = confirmed(toward.select("key", F.col("hub").alias("other")))
-        # Whoever reaches the representative through the center is done; the rest meets the whole bucket.
-        both = near.select(F.col("a").alias("key"), F.col("b").alias("hub")).unionAll(near.select(F.col("b").alias("key"), F.col("a").alias("hub")))
-        done = apart.join(central.where("joined"), "bucket").join(both, ["key", "hub"], "left_semi").select("bucket", "key")
-        rest = apart.join(done, ["bucket", "key"], "left_anti").join(known, "key")
-        whole = split.select("bucket", F.col("key").alias("other")).join(_beside(known, "other"), "other")
-        pairs = rest.join(whole, "bucket").where((F.col("key") != F.col("other")) & _hopeful(percent) & _possible(percent))
-        links = links.unionAll(near).unionAll(confirmed(pairs.select("key", "other")))
+        central = stored(split.join(known, "key").groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "key")).getField("key").alias("hub")), "centers")
+        toward = apart.join(known, "key").join(central, "bucket").join(_beside(known, "hub"), "hub").where((F.col("key") != F.col("hub")) & _hopeful(percent) & _possible(percent))
+        links = links.unionAll(confirmed(toward.select("key", F.col("hub").alias("other"))))
+        # What other links have connected needs no more; the rest meets all of its bucket that isn't connected with it.
+        parts = stored(components(links), "parts")
+        connected = lambda df, node, name: df.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+        rest = connected(connected(apart, "key", "part"), "rep", "rep_part").where("part <> rep_part").select("bucket", "key", "part").join(known, "key")
+        whole = connected(split.select("bucket", "key"), "key", "part").join(known, "key")
+        whole = whole.select("bucket", F.col("key").alias("other"), *[F.col(c).alias(f"o_{c}") for c in whole.columns if c not in ("bucket", "key")])
+        pairs = rest.join(whole, "bucket").where((F.col("part") != F.col("o_part")) & _hopeful(percent) & _possible(percent))
+        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(confirmed(pairs.select("key", "other")))
+        done += [split, known, central, parts]
     parts = stored(components(links), "parts")
 
-    of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    got = every.select("key", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
-    component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
-    return got.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+    of_class = classes.join(parts.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+    least = stored(of_class.groupBy("component").agg(F.min("key").alias("component_id")), "component-ids")
+    of_class = stored(of_class.join(least, "component").select("n", "s1", "s2", "component_id"), "class-components")
+    for table in [*done, parts, least]:
+        dropped(table)
+    # Rows without a set share one name; they don't meet in the join.
+    bare = "n = 0 or key is null"
+    got = every.where(f"not ({bare})").select("key", "mark", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left").select("key", "mark", "n", "component_id")
+    return got.unionAll(every.where(bare).select("key", "mark", "n", F.col("key").alias("component_id")))
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``key``, ``n_shingles``, ``component_id`` (the smallest key it reaches) and ``kept`` for each row."""
+    kept = F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept")
+    return _judged(df, key, text, size, percent).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that stay: one of each group, all that are linked with nothing."""
-    gone = groups(df, key, text, size, percent).where("not kept").select(F.col(key).alias("_gone")).distinct()
-    return df.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``df`` that stay: one of each group, all that are linked with nothing; rows with equal key and text share their fate."""
+    gone = _judged(df, key, text, size, percent).where("key <> component_id").select("key", "mark").distinct()
+    # The row goes through as one column, so none of its names can clash.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
+    return rows.join(gone, ["key", "mark"], "left_anti").select("row.*")

@@ -290,17 +290,6 @@ def test_lines(spark, docs):
     assert line_dedup.report(docs).count() == docs.count()
 
 
-def test_line_hashes(spark):
-    lines = ["one two three four five", " ".join(f"w{k % 40}" for k in range(1000)), "a b"]
-    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
-    got = {r.key: r.sim for r in line_dedup._occurrences(df, "doc_id", "text").collect()}
-    for k, line in enumerate(lines[:2]):
-        w = line.split()
-        hashes = [r.h & (1 << 64) - 1 for r in spark.createDataFrame(list(zip(w, w[1:], strict=False)), "a string, b string").select(F.xxhash64("a", "b").alias("h")).collect()]
-        assert got[k] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-    assert got[2] is None
-
-
 def test_similar_lines_are_found(spark, monkeypatch):
     """Every pair that brute force finds similar is connected, with common runs moved back and without."""
     rng, lines = random.Random(10), []
@@ -360,3 +349,14 @@ def test_empty_tables(spark, none):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for df in (bpe.decode(bpe.encode(none, RANKS), RANKS), token_store.written_places(none, public_tokenizers.path("byte_bpe_50k.json")), pii.find(none), superminhash.groups(none), license_scan.scan(none), decontam.find(none, items), media.described(media.sniff(media.store_texts(none))), line_dedup.report(none), line_dedup.dedup(none), html_extract.extract(pages)):
         assert df.count() == 0
+
+
+def test_rows_with_one_key(spark):
+    """Rows are judged by their own text, whatever their keys, and clashing names do no harm."""
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a"), (2, text, "b"), (2, "another text that is nothing like it at all", "c"), (None, text, "d"), (3, None, "e")]
+    for odd in ("_gone", "mark", "key", "row"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {odd} string")
+        assert sorted(r[2] for r in superminhash.dedup(df).collect()) == ["a", "c", "d", "e"]
+    df = spark.createDataFrame([(1, f"{text}\nfirst of all", "a"), (2, text, "b"), (2, "other", "c")], "doc_id long, text string, removed string")
+    assert sorted(r.removed for r in line_dedup.dedup(df).collect()) == ["a", "c"]
