@@ -6,8 +6,9 @@ Fisher-Yates steps, and a document stops as soon as all its slots hold less than
 
 Equal sets are one class, named by a 128-bit sum over its shingles. Bands of the signatures put classes into buckets. In a
 bucket every class is compared with the smallest name first, and what isn't linked with that with the bucket's most central
-member. Members that no links, of whatever bucket, have connected with each other by then are compared with each other, so
-no component is split and a bucket of copies costs about as many comparisons as it has members. Sizes, sketches of the signatures (a bound four standard deviations wide) and the number of shingles that nothing
+member. Members that no links, of whatever bucket, have connected by then are compared with all that share one of their
+rarest shingles, by an exact prefix filter, so no component is split and a bucket of copies costs about as many comparisons
+as it has members. Sizes, sketches of the signatures (a bound four standard deviations wide) and the number of shingles that nothing
 else in such buckets has drop hopeless pairs; the others are confirmed on full sets of 64-bit shingle hashes.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; fewer words than a shingle
@@ -22,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.cluster import cut, dropped, map_text, stored
@@ -31,6 +32,8 @@ from gridloom.llm.components import components
 #: The sketch keeps four bits of each of so many slots, sixteen slots in a long.
 SLOTS = 256
 SKETCH = tuple(f"b{k}" for k in range(SLOTS // 16))
+#: Shingles that two prefixes have to share.
+SHARED = 16
 U = np.uint64
 
 
@@ -180,8 +183,8 @@ def _beside(df: DataFrame, key: str) -> DataFrame:
     return df.toDF(*[key if c == "key" else f"o_{c}" for c in df.columns])
 
 
-def _alone(sets: DataFrame) -> DataFrame:
-    """``key`` and ``u``: how many of its shingles no other of ``sets`` has."""
+def _items(sets: DataFrame) -> DataFrame:
+    """A row for each shingle of each of ``sets``: ``item`` and ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,8 +193,34 @@ def _alone(sets: DataFrame) -> DataFrame:
                 sizes = np.array([len(x) // 8 for x in part.column("items").to_pylist()], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(np.repeat(part.column("key").to_numpy(), sizes))], ["item", "key"])
 
-    one = sets.mapInArrow(run, "item long, key long").groupBy("item").agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1")
-    return one.groupBy("key").agg(F.count("*").alias("u"))
+    return sets.mapInArrow(run, "item long, key long")
+
+
+def _prefixes(items: DataFrame, often: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """For each set, among its shingles that are not its alone: ``long`` and ``short`` prefixes, and ``long1`` and ``short1`` for a single one.
+
+    All shingles stand in one order, rarest first. Two sets at the threshold share k shingles of the larger one's first
+    n - ceil(percent n / 100) + k and the smaller one's first n - ceil(2 percent n / (100 + percent)) + k.
+    """
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("many", "item"))
+    ranked = items.join(often, "item").join(known.select("key", "n"), "key").select("item", "key", "many", "n", rank.alias("rank"))
+    most = F.col("n") - F.expr(f"(n * {percent} + 99) div 100")
+    early = F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}")
+    held = ranked.where((F.col("rank") <= most + SHARED) & (F.col("many") > 1))
+    # As long as a part of the set.
+    some = lambda length, k, name: F.collect_list(F.when(F.col("rank") <= length + k, F.col("item"))).alias(name)
+    return held.groupBy("key").agg(some(most, SHARED, "long"), some(early, SHARED, "short"), some(most, 1, "long1"), some(early, 1, "short1"))
+
+
+def _meeting(percent: int) -> Column:
+    """Whether the prefixes of a pair leave a chance of the threshold, and ``item`` is the first of those that say so."""
+
+    def where(long: str, short: str, least: str) -> Column:
+        enough = F.least(F.lit(SHARED), F.expr(f"(2 * {percent} * {least} + {99 + percent}) div {100 + percent}"))
+        first = F.array_min(F.array_intersect(f"{long}1", f"{short}1")) == F.col("item")
+        return first & (F.size(F.array_intersect(long, short)) >= enough)
+
+    return F.when(F.col("n") >= F.col("o_n"), where("long", "o_short", "o_n")).otherwise(where("o_long", "short", "n"))
 
 
 def _hopeful(percent: int) -> Column:
@@ -250,20 +279,24 @@ def _judged(df: DataFrame, key: str, text: str, size: int, percent: int) -> Data
         split = stored(members.join(apart.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "key", "rep").distinct(), "split-buckets")
         inside = split.select("key").distinct()
         # A shingle that no other text there has can be in no intersection.
-        alone = _alone(sets.join(inside, "key", "left_semi"))
+        items = stored(_items(sets.join(inside, "key", "left_semi")), "items")
+        often = stored(items.groupBy("item").agg(F.count("*").alias("many")), "item-counts")
+        alone = items.join(often.where("many = 1"), "item").groupBy("key").agg(F.count("*").alias("u"))
         known = stored(small.join(inside, "key", "left_semi").join(alone, "key", "left").withColumn("u", F.coalesce("u", F.lit(0))), "profiles")
         central = stored(split.join(known, "key").groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "key")).getField("key").alias("hub")), "centers")
         toward = apart.join(known, "key").join(central, "bucket").join(_beside(known, "hub"), "hub").where((F.col("key") != F.col("hub")) & _hopeful(percent) & _possible(percent))
         links = links.unionAll(confirmed(toward.select("key", F.col("hub").alias("other"))))
-        # What other links have connected needs no more; the rest meets all of its bucket that isn't connected with it.
+        # What other links have connected needs no more; the rest meets all that share one of its rarest shingles.
         parts = stored(components(links), "parts")
         connected = lambda df, node, name: df.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-        rest = connected(connected(apart, "key", "part"), "rep", "rep_part").where("part <> rep_part").select("bucket", "key", "part").join(known, "key")
-        whole = connected(split.select("bucket", "key"), "key", "part").join(known, "key")
-        whole = whole.select("bucket", F.col("key").alias("other"), *[F.col(c).alias(f"o_{c}") for c in whole.columns if c not in ("bucket", "key")])
-        pairs = rest.join(whole, "bucket").where((F.col("part") != F.col("o_part")) & _hopeful(percent) & _possible(percent))
+        rest = connected(connected(apart, "key", "part"), "rep", "rep_part").where("part <> rep_part").select("key", F.lit(True).alias("rest")).distinct()
+        first = connected(_prefixes(items, often, known, percent), "key", "part").join(known, "key").join(rest, "key", "left")
+        first = stored(first.withColumn("rest", F.coalesce("rest", F.lit(False))).withColumn("item", F.explode("long1")), "prefixes")
+        both = first.where("rest").join(_beside(first, "other").withColumnRenamed("o_item", "item"), "item")
+        once = ~F.col("o_rest") | (F.col("key") > F.col("other"))
+        pairs = both.where((F.col("part") != F.col("o_part")) & once & _hopeful(percent) & _possible(percent) & _meeting(percent))
         links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(confirmed(pairs.select("key", "other")))
-        done += [split, known, central, parts]
+        done += [split, items, often, known, central, parts, first]
     parts = stored(components(links), "parts")
 
     of_class = classes.join(parts.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
