@@ -7,8 +7,8 @@ host and path in Spark, each host's best path wins, and pages are extracted agai
 lacks it falls back to its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and
 comments are left out wherever they stand.
 
-Votes are summed inside each task before they are shuffled, and a host's winner is one short row, so a host that owns a
-third of all pages is a skewed join with a tiny side, which Spark splits.
+Votes are summed inside each task before they are shuffled, and a host's winner is one short row. Winners are broadcast where
+their number is below a bound; beyond it the pages of each host are dealt out to parts, so no host's pages meet in one task.
 
 Defined results: null or empty html gives an empty text, and so does html without text outside such parts; a url without
 host votes with the host ''; repeated rows give repeated results; ties go to the path that sorts first.
@@ -16,23 +16,26 @@ host votes with the host ''; repeated rows give repeated results; ties go to the
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.cluster import cut, ddl
+from gridloom.llm.cluster import cut, ddl, stored
 
 # HTML's elements by kind.
 CONTAINERS = frozenset("article main section div td body".split())
 BLOCKS = CONTAINERS | frozenset("address blockquote caption center dd details dialog dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li ol p pre search summary table tbody tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-DROPPED = frozenset("head nav header footer aside form script style noscript iframe textarea title template button select option svg math canvas object audio video menu dialog search".split()) | RAW
+DROPPED = frozenset("head nav header footer aside form script style noscript iframe textarea title template button select option svg canvas object audio video menu dialog search".split()) | RAW
+# Dropped elements that stand in a line of text and don't end it.
+INLINE = frozenset("script style noscript iframe template button select option svg canvas object audio video textarea".split())
 # An open element of the first kind ends where one of the second begins.
 ENDED_BY = {"p": BLOCKS | {"form", "nav", "header", "footer", "aside", "menu"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 STOPS = frozenset("article main section div table td th body ul ol dl blockquote aside nav header footer form figure details".split())
@@ -49,11 +52,22 @@ WORD = re.compile(r"[A-Za-z]+")
 DIGITS = re.compile(r"\d+")
 
 
+#: Hosts whose paths are broadcast at most; parts that a host's pages are dealt out to beyond that.
+BROADCAST_HOSTS, PARTS = 100_000, 64
+#: Containers that a path names one by one; those further up stand in it as one digest, so paths of deep pages stay short.
+NAMED = 32
+
+
 class Container:
-    __slots__ = ("chars", "links", "other", "path", "tag", "up", "words")
+    __slots__ = ("chars", "depth", "links", "path", "tag", "up", "words")
 
-    def __init__(self, tag: str, path: str, up: Container | None, words: set[str]):
-        self.tag, self.path, self.up, self.words, self.chars, self.links = tag, path, up, words, 0, 0
+    def __init__(self, tag: str, shape: str, up: Container | None, words: set[str]):
+        self.tag, self.up, self.words, self.chars, self.links = tag, up, words, 0, 0
+        self.depth = up.depth + 1 if up else 0
+        above = up.path if up else ""
+        if self.depth and self.depth % NAMED == 0:
+            above = hashlib.blake2b(above.encode(), digest_size=12).hexdigest()
+        self.path = f"{above}>{shape}" if up else shape
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -80,22 +94,27 @@ def blocks(page: str) -> list[tuple[str, int, Container]]:
     stack: list[tuple[str, bool, Container, bool]] = [("", False, root, False)]
     out: list[tuple[str, int, Container]] = []
     pending: list[str] = []
+    opened: Counter[str] = Counter()  # open elements by tag, so that a stray end costs no search
     linked, at, size = 0, 0, len(page)
 
     def flush() -> None:
         nonlocal linked
         if pending:
-            text = " ".join(entities.unescape("".join(pending)).split())
+            text = " ".join("".join(pending).split())
             if text:
                 out.append((text, min(linked, len(text)), stack[-1][2]))
             pending.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        opened.subtract(entry[0] for entry in stack[k:])
+        del stack[k:]
+
     while at < size:
         tag = TAG.search(page, at)
         stop = tag.start() if tag else size
         if stop > at and not stack[-1][1]:
-            pending.append(page[at:stop])
+            pending.append(entities.unescape(page[at:stop]))
             if stack[-1][3]:
                 linked += stop - at
         if not tag:
@@ -105,23 +124,23 @@ def blocks(page: str) -> list[tuple[str, int, Container]]:
         if not name:
             continue
         if tag[1] or tag[4]:
-            if name in BLOCKS or name in DROPPED:
+            if name in BLOCKS or name in DROPPED - INLINE:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k)
                     break
                 if name not in STOPS and stack[k][0] in STOPS and name not in BLOCKS:
                     break  # a stray end of an inline element ends nothing further out
             continue
         raw = tag[3] or tag[6] or ""
-        if name in BLOCKS or name in DROPPED:
+        if name in BLOCKS or name in DROPPED - INLINE:
             flush()
         elif name == "br":
             pending.append(" ")
         for k in range(len(stack) - 1, 0, -1):
             if name in ENDED_BY.get(stack[k][0], ()):
-                del stack[k:]
+                close(k)
                 break
             if stack[k][0] in STOPS:
                 break
@@ -136,8 +155,9 @@ def blocks(page: str) -> list[tuple[str, int, Container]]:
             continue
         if name in CONTAINERS and not gone and name != "body":
             shape = DIGITS.sub("#", ".".join([name, *sorted(attributes.get("class", "").split())]))
-            container = Container(name, f"{container.path}>{shape}", container, {w.lower() for w in WORD.findall(attributes.get("class", "") + " " + attributes.get("id", ""))})
+            container = Container(name, shape, container, {w.lower() for w in WORD.findall(attributes.get("class", "") + " " + attributes.get("id", ""))})
         stack.append((name, gone, container, link or name == "a"))
+        opened[name] += 1
     flush()
     return out
 
@@ -146,15 +166,20 @@ def scores(found: list[tuple[str, int, Container]]) -> dict[str, float]:
     """The score of each path on one page, its best container counting."""
     total, seen = sum(len(t) for t, _, _ in found), {}
     for text, links, container in found:
-        while container:
+        container.chars += len(text)
+        container.links += links
+        while container and id(container) not in seen:
             seen[id(container)] = container
-            container.chars += len(text)
-            container.links += links
             container = container.up
+    # From the innermost out, each gives to the one above it what it holds.
+    for c in sorted(seen.values(), key=lambda c: -c.depth):
+        if c.up:
+            c.up.chars += c.chars
+            c.up.links += c.links
     out: dict[str, float] = defaultdict(float)
     for c in seen.values():
         promise = {"article": 0.4, "main": 0.2}.get(c.tag, 0.0) + (0.15 if TEXT_PARTS & c.words else 0.0)
-        score = c.chars / total * (1 + promise) - 0.5 * c.links / max(c.chars, 1) + 0.001 * min(c.path.count(">"), 20)
+        score = c.chars / total * (1 + promise) - 0.5 * c.links / max(c.chars, 1) + 0.001 * min(c.depth, 20)
         out[c.path] = max(out.get(c.path, 0.0), score)
     return out
 
@@ -168,7 +193,18 @@ def main_text(page: str, winner: str | None = None) -> str:
     found = blocks(page)
 
     def below(path: str | None) -> list[str]:
-        return [t for t, _, c in found if path and (c.path == path or c.path.startswith(path + ">"))]
+        known: dict[int, bool] = {}
+
+        def inside(c: Container | None) -> bool:
+            above: list[Container] = []
+            while c and id(c) not in known and c.path != path:
+                above.append(c)
+                c = c.up
+            here = c is not None and known.get(id(c), True)
+            known.update((id(x), here) for x in above)
+            return here
+
+        return [t for t, _, c in found if path and inside(c)]
 
     return "\n".join(below(winner) or below(_best(scores(found))))
 
@@ -208,5 +244,12 @@ def extract(pages: DataFrame, key: str = "page_id", html: str = "html", url: str
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("url"), pa.array(text, pa.string())], [key, "url", "text"])
 
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host(F.col(url)).alias("host"))
-    joined = rows.join(winners(pages, html, url), "host", "left").select("key", "url", "html", "path")
+    won = stored(winners(pages, html, url), "host-paths")
+    if won.count() <= BROADCAST_HOSTS:
+        joined = rows.join(F.broadcast(won), "host", "left")
+    else:
+        # A host's pages are dealt out, and its path goes to each part.
+        won = won.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = rows.withColumn("part", F.pmod(F.xxhash64("key", "url"), F.lit(PARTS)).cast("int")).join(won, ["host", "part"], "left")
+    joined = joined.select("key", "url", "html", "path")
     return joined.mapInArrow(run, f"`{key}` {ddl(pages, key)}, url string, text string")
