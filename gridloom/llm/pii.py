@@ -96,7 +96,7 @@ def described(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
     near = [w.lower().strip("-_") for w in _WORD.findall(before)][-3:]
     joint = before.rstrip(" \"'")
     votes = [
-        bool(_PREFIX.match(span) or _HEX.match(span)) if kind == "secret" else kind in BASE or kind == "contact",
+        bool(_PREFIX.match(span) or _HEX.match(span)) if kind == "secret" else True,
         any(t in w for w in near for t in TELLING[kind]),
         joint[-1:] in ("=", ":") and len(joint) > 0,
         before[-1:] in ("'", '"') and text[end : end + 1] in ("'", '"'),
