@@ -239,23 +239,24 @@ def _long(known: Index, points: np.ndarray, owner: np.ndarray, places: np.ndarra
             found.setdefault((d, i), []).append((got[0], int(places[a + got[1]]), int(places[a + got[2] - 1]) + 1))
 
 
-def blocks(items: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` and ``text`` of the items with ``block``, none of which holds over ``BLOCK_CHARS`` characters but for a longer item."""
+def blocks(items: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """``item``, ``text`` and ``block`` of the items, and how many blocks there are; none holds over ``BLOCK_CHARS`` characters but for its last item."""
     rows = items.where(F.col(text).isNotNull()).select(F.col(key).alias("item"), F.col(text).alias("text"))
-    # Sums of lengths run inside 64 parts by hash, so no task has to see all items in order.
-    along = Window.partitionBy("part").orderBy("item", "text")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(64)))
-    return rows.withColumn("block", F.floor(F.sum(F.length("text").cast("long")).over(along) / BLOCK_CHARS))
+    # Sums of lengths run inside 64 parts by hash, so no task has to see all items in order; the parts stand one after the other.
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(64)).cast("int")).withColumn("size", F.length("text").cast("long"))
+    sizes = {r["part"]: r["size"] for r in rows.groupBy("part").agg(F.sum("size").alias("size")).collect()}
+    before = [sum(sizes.get(k, 0) for k in range(part)) for part in range(64)]
+    along = Window.partitionBy("part").orderBy("item", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.element_at(F.array(*map(F.lit, before)), F.col("part") + 1) + F.coalesce(F.sum("size").over(along), F.lit(0))
+    return rows.select("item", "text", F.floor(start / BLOCK_CHARS).alias("block")), max(1, -(-sum(sizes.values()) // BLOCK_CHARS))
 
 
 def passes(items: DataFrame, key: str, text: str) -> Iterator[Broadcast[Index]]:
     """The items' indexes, each of a bounded size."""
-    cut_up = blocks(items, key, text)
-    # Parts of small benchmarks go together: one pass as long as all of them stay within the bound.
-    sizes = cut_up.agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
-    for block in [None] if sizes <= BLOCK_CHARS else [tuple(r) for r in cut_up.select("part", "block").distinct().orderBy("part", "block").collect()]:
-        part = cut_up if block is None else cut_up.where((F.col("part") == block[0]) & (F.col("block") == block[1]))
-        yield items.sparkSession.sparkContext.broadcast(index([(r["item"], r["text"]) for r in part.select("item", "text").orderBy("item", "text").collect()]))
+    cut_up, n = blocks(items, key, text)
+    for block in range(n):
+        part = cut_up.where(F.col("block") == block).select("item", "text").orderBy("item", "text")
+        yield items.sparkSession.sparkContext.broadcast(index([(r["item"], r["text"]) for r in part.collect()]))
 
 
 def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
