@@ -52,7 +52,21 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
-def _png(b: bytes, at: int) -> int:
+class Trailers:
+    """Where a trailer stands next; places are asked for in ascending order, so each byte is searched once for each trailer."""
+
+    def __init__(self, b: bytes):
+        self.b, self.next = b, {}
+
+    def after(self, trailer: bytes, at: int) -> int:
+        there, since = self.next.get(trailer, (0, len(self.b) + 1))
+        if not since <= at or 0 <= there < at:
+            since, there = at, self.b.find(trailer, at)
+            self.next[trailer] = there, since
+        return there
+
+
+def _png(b: bytes, at: int, next_: Trailers) -> int:
     i = at + 8
     while i + 12 <= len(b):
         n = int.from_bytes(b[i : i + 4], "big")
@@ -64,7 +78,7 @@ def _png(b: bytes, at: int) -> int:
     return -1
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, next_: Trailers) -> int:
     def blocks(i: int) -> int:
         while i < len(b) and b[i]:
             i += b[i] + 1
@@ -85,11 +99,11 @@ def _gif(b: bytes, at: int) -> int:
     return -1
 
 
-def _jpeg(b: bytes, at: int) -> int:
+def _jpeg(b: bytes, at: int, next_: Trailers) -> int:
     i = at + 2
     while i + 4 <= len(b) and b[i] == 0xFF:
         if b[i + 1] == 0xDA:
-            end = b.find(b"\xff\xd9", i)
+            end = next_.after(b"\xff\xd9", i)
             return end + 2 if end >= 0 else -1
         n = int.from_bytes(b[i + 2 : i + 4], "big")
         if n < 2:
@@ -98,7 +112,7 @@ def _jpeg(b: bytes, at: int) -> int:
     return -1
 
 
-def _riff(b: bytes, at: int) -> int:
+def _riff(b: bytes, at: int, next_: Trailers) -> int:
     if at + 12 > len(b) or b[at + 8 : at + 12] not in RIFF_FORMS:
         return -1
     end, i = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), at + 12
@@ -110,7 +124,7 @@ def _riff(b: bytes, at: int) -> int:
     return end if i in (end, end + 1) else -1
 
 
-def _gzip(b: bytes, at: int) -> int:
+def _gzip(b: bytes, at: int, next_: Trailers) -> int:
     d = zlib.decompressobj(31)
     try:
         rest = memoryview(b)[at:]
@@ -122,20 +136,20 @@ def _gzip(b: bytes, at: int) -> int:
     return len(b) - len(rest) - len(d.unused_data) if d.eof else -1
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, next_: Trailers) -> int:
+    end = next_.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return -1
     size, offset, comment = struct.unpack("<IIH", b[end + 12 : end + 22])
     return end + 22 + comment if at + offset + size == end and end + 22 + comment <= len(b) else -1
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else -1
+def _pdf(b: bytes, at: int, next_: Trailers) -> int:
+    end = next_.after(b"%%EOF", at)
+    return end + 5 if end >= 0 and 0 <= next_.after(b"startxref", at) < end else -1
 
 
-def _ogg(b: bytes, at: int) -> int:
+def _ogg(b: bytes, at: int, next_: Trailers) -> int:
     i = at
     while b[i : i + 4] == b"OggS" and i + 27 <= len(b):
         n = b[i + 26]
@@ -143,7 +157,7 @@ def _ogg(b: bytes, at: int) -> int:
     return i if at < i <= len(b) else -1
 
 
-def _flac(b: bytes, at: int) -> int:
+def _flac(b: bytes, at: int, next_: Trailers) -> int:
     return len(b) if at + 42 <= len(b) and b[at + 4] & 127 == 0 and int.from_bytes(b[at + 5 : at + 8], "big") == 34 else -1
 
 
@@ -154,10 +168,11 @@ def objects(b: bytes, inside: tuple[int, int] | None = None) -> list[tuple[str,
     """Valid media objects (type, start, end) in ``b`` or between two places of it, in order, none within another."""
     a, z = inside or (0, len(b))
     out, done = [], a
-    part = b[a:z]
+    part, b = b[a:z], b if z == len(b) else b[:z]
+    next_ = Trailers(b)
     for last, (kind, n) in automaton().iter(part.decode("latin-1")):
         at = a + last - n + 1
-        if at >= done and (end := VALID[kind](b if z == len(b) else b[:z], at)) > at:
+        if at >= done and (end := VALID[kind](b, at, next_)) > at:
             out.append((RIFF_FORMS[b[at + 8 : at + 12]] if kind == "riff" else kind, at, end))
             done = end
     return out
