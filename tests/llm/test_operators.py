@@ -360,3 +360,43 @@ def test_rows_with_one_key(spark):
         assert sorted(r[2] for r in superminhash.dedup(df).collect()) == ["a", "c", "d", "e"]
     df = spark.createDataFrame([(1, f"{text}\nfirst of all", "a"), (2, text, "b"), (2, "other", "c")], "doc_id long, text string, removed string")
     assert sorted(r.removed for r in line_dedup.dedup(df).collect()) == ["a", "c"]
+
+
+def test_parts_of_pages(spark, monkeypatch):
+    page = '<html><body><div class="post"><p>One &am<b>p;</b> <math><mi>x</mi></math> a<script>var y;</script>b<svg><text>no</text></svg>c</p><p>Two lines of some more text</p></div></body></html>'
+    df = spark.createDataFrame([(k, "http://h.example/x", page) for k in range(3)], "page_id long, url string, html string")
+    for most in (100_000, 0):
+        monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", most)
+        got = {r.text for r in html_extract.extract(df).collect()}
+        assert got == {"One &amp; x abc\nTwo lines of some more text"}
+
+
+def test_hostile_bytes_and_pages():
+    """Repeated magic bytes and deep nesting cost time in proportion."""
+    import time
+
+    began = time.time()
+    assert media.objects(b"%PDF-" * 200_000) == [] and media.objects(b"PK\x03\x04" * 200_000) == []
+    assert len(html_extract.main_text("<div>x" * 40_000).split("\n")) > 39_900  # below the best container
+    assert html_extract.main_text("<p>a" + "</q>" * 100_000 + "b") == "ab"
+    assert time.time() - began < 20
+
+
+def test_numbers_are_found(spark):
+    rows = [(k, f"my ssn is 123-45-6{k:03d}, do keep it; then call 212-555-1{k:03d} any day") for k in range(60)]
+    rows += [(1000 + k, f"part 555-01-{k:04d} of 4 in the series") for k in range(60)]
+    got = {r.doc_id: {s.kind for s in r.spans} for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("number" in got[k] for k in range(60)) >= 54
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    """However many blocks items are cut into, each item is in one, and results don't change."""
+    rng = random.Random(3)
+    items = [(k, " ".join(f"w{rng.randrange(500)}" for _ in range(20))) for k in range(40)]
+    df = spark.createDataFrame([(k, f"before {t} after") for k, t in items], "doc_id long, text string")
+    known = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontam.find(df, known).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 700)
+    cut_up, n = decontam.blocks(known, "item_id", "text")
+    assert sorted(r["item"] for r in cut_up.collect()) == list(range(40)) and 2 <= n <= 8
+    assert sorted(map(tuple, decontam.find(df, known).collect())) == want and len(want) >= 40
