@@ -403,7 +403,7 @@ _REAL |= {
     "floor": lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x),
     "ceil": lambda x: F.when(F.abs(x) < 2.0**53, F.ceil(x).cast("double")).otherwise(x),
     "trunc": lambda x: F.when(F.abs(x) < 2.0**53, F.signum(x) * F.floor(F.abs(x))).otherwise(x),
-    "fract": lambda x: x - F.signum(x) * F.floor(F.abs(x)),
+    "fract": lambda x: F.when(F.abs(x) < 2.0**53, x - F.signum(x) * F.floor(F.abs(x))).otherwise(x - x),
 }
 
 
@@ -438,7 +438,7 @@ def compile(e: Expr, env: Callable[[Expr], Column | None]) -> Column:  # noqa: A
                 return F.when(a[1] == 0, zero).otherwise(F.try_divide(a[0], a[1]))
             return wrap(euclid_div(*a), kind)
         case "%":
-            return a[0] - a[1] * F.floor(F.try_divide(a[0], a[1])) if kind.is_float else euclid_mod(*a)
+            return F.when(a[1] == 0, F.lit(_NAN)).otherwise(a[0] - a[1] * F.floor(F.try_divide(a[0], a[1]))) if kind.is_float else euclid_mod(*a)
         case "max":
             return F.greatest(*a)
         case "min":

@@ -10,6 +10,7 @@ is left is folded in order, one group of the pure coordinates at a time.
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -344,7 +345,7 @@ def sites(spark: SparkSession, box: list[tuple[int, int]], names: list[str]) ->
     df, below = spark.range(total), 1
     out = []
     for name, (a, n) in zip(names, box, strict=True):
-        out.append((F.pmod(F.floor(F.col("id") / below) if below > 1 else F.col("id"), F.lit(max(n, 1))) + a).cast("bigint").alias(name))
+        out.append((F.pmod(F.expr(f"id div {below}") if below > 1 else F.col("id"), F.lit(max(n, 1))) + a).cast("bigint").alias(name))
         below *= max(n, 1)
     return df.select(*out)
 
@@ -552,7 +553,7 @@ def _with_updates(func: Func, box: list[tuple[int, int]]) -> list[tuple[int, int
     return box
 
 
-_JOINED = {"+": "sum", "-": "sum", "*": "product", "max": "max", "min": "min"}
+_JOINED = {"+": "sum", "-": "sum", "*": "product", "/": "product", "max": "max", "min": "min"}
 
 
 def updated(spark: SparkSession, func: Func, u: Update, df: DataFrame, box: list[tuple[int, int]]) -> DataFrame:
@@ -580,19 +581,20 @@ def updated(spark: SparkSession, func: Func, u: Update, df: DataFrame, box: list
         rows = sites(spark, [box[k] for k, _ in pure], [v for _, v in pure])
         plan = Plan(spark, u.domain.over(rows) if u.domain else rows, ranges, (func, df))
 
-    joined = _joined(values[0], func, u) if len(values) == 1 else None
+    joined = [_joined(e, func, u, k) for k, e in enumerate(values)]
     order = F.struct(*u.domain.order()) if u.domain else F.struct(F.lit(0))
-    if joined:
-        op, rest = joined
-        plan.attach([*args, rest])
-        kind = rest.kind
-        amount = compile(rest, plan.env)
-        keyed = plan.df.select(*[compile(a, plan.env).cast("bigint").alias(n) for a, n in zip(args, names, strict=True)], amount.alias("_amount")).where("_amount is not null")
-        keyed = keyed.groupBy(*names).agg(_aggregate(_JOINED[op], F.col("_amount"), kind, u.domain or RDom()).alias("_amount")) if names else keyed.agg(_aggregate(_JOINED[op], F.col("_amount"), kind, u.domain or RDom()).alias("_amount"))
-        old, new = Expr("var", (), kind, "v0"), Expr("var", (), kind, "_amount")
-        merged = _stored_value(compile(Expr(op, (old, new), kind), lambda e: F.col(e.data) if e.op == "var" else None), kind)
+    if all(joined):
+        plan.attach([*args, *[rest for _, rest in joined]])
+        amounts = [compile(rest, plan.env).alias(f"_a{k}") for k, (_, rest) in enumerate(joined)]
+        keyed = plan.df.select(*[compile(a, plan.env).cast("bigint").alias(n) for a, n in zip(args, names, strict=True)], *amounts).where(" and ".join(f"_a{k} is not null" for k in range(len(joined))))
+        totals = [_aggregate(_JOINED[op], F.col(f"_a{k}"), rest.kind, u.domain or RDom()).alias(f"_a{k}") for k, (op, rest) in enumerate(joined)]
+        keyed = keyed.groupBy(*names).agg(*totals) if names else keyed.agg(*totals)
         both = df.join(keyed, names, "left") if names else df.crossJoin(keyed)
-        return both.select(*names, F.coalesce(merged, F.col("v0")).alias("v0"))
+        merged = []
+        for k, (op, rest) in enumerate(joined):
+            pair = Expr(op, (Expr("var", (), rest.kind, f"v{k}"), Expr("var", (), rest.kind, f"_a{k}")), rest.kind)
+            merged.append(F.coalesce(_stored_value(compile(pair, lambda e: F.col(e.data) if e.op == "var" else None), rest.kind), F.col(f"v{k}")).alias(f"v{k}"))
+        return both.select(*names, *merged)
     if not own:
         plan.attach([*args, *values])
         cells = F.struct(*[_stored_value(compile(e, plan.env), e.kind).alias(f"n{k}") for k, e in enumerate(values)])
@@ -606,10 +608,16 @@ def updated(spark: SparkSession, func: Func, u: Update, df: DataFrame, box: list
         axis, rest = running
         plan.attach([args[axis], rest])
         keys = [v for _, v in pure]
-        along = Window.partitionBy(*keys).orderBy("_at") if keys else Window.orderBy("_at")
         steps = plan.df.select(*[F.col(f"`{v}`") for v in keys], compile(args[axis], plan.env).cast("bigint").alias("_at"), compile(rest, plan.env).alias("_step"))
-        total = F.sum("_step" if rest.kind.is_float else F.col("_step").cast("decimal(38,0)")).over(along.rowsBetween(Window.unboundedPreceding, 0))
-        steps = steps.select(*keys, "_at", total.alias("_total"), F.min("_at").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_from"))
+        total = lambda c: F.sum(c if rest.kind.is_float else F.col(c).cast("decimal(38,0)"))
+        # Sums run inside ranges as long as there are ranges, and go on with the sums of all ranges before, so no task sees all steps.
+        length = max(1, math.isqrt(u.domain.axes[0][1]))
+        steps = steps.withColumn("_range", F.expr(f"_at div {length}"))
+        along = Window.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        ranges_ = steps.groupBy(*keys, "_range").agg(total("_step").alias("_sum"), F.min("_at").alias("_first"))
+        over = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_range")
+        ranges_ = ranges_.select(*keys, "_range", F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.first("_first").over(over).alias("_from"))
+        steps = steps.withColumn("_inside", total("_step").over(along)).join(ranges_, [*keys, "_range"]).select(*keys, "_at", (F.col("_inside") + F.col("_before")).alias("_total"), "_from")
         start = df.select(*[F.col(f"c{k}").alias(v) for k, v in pure], (F.col(f"c{axis}") + 1).alias("_from"), F.col("v0").alias("_start"))
         steps = steps.join(start, [*keys, "_from"])
         sum_of = F.col("_total") + F.col("_start") if rest.kind.is_float else _fold_in(F.col("_total") + F.col("_start").cast("decimal(38,0)"), rest.kind)
@@ -622,13 +630,13 @@ def _self(callee: Func | Input, args: tuple[Expr, ...], k: int) -> Expr:
     return Expr("call", args, callee.kinds()[k], (callee, k))
 
 
-def _joined(e: Expr, func: Func, u: Update) -> tuple[str, Expr] | None:
-    """Operator and operand of ``f(args) = f(args) op rest`` if the order of such steps doesn't matter."""
-    me = signature(_self(func, u.args, 0))
-    if e.op not in _JOINED:
+def _joined(e: Expr, func: Func, u: Update, k: int = 0) -> tuple[str, Expr] | None:
+    """Operator and operand of ``f(args)[k] = f(args)[k] op rest`` if the order of such steps doesn't matter."""
+    me = signature(_self(func, u.args, k))
+    if e.op not in _JOINED or (e.op == "/" and not e.kind.is_float):
         return None
     for mine, rest in ((0, 1), (1, 0)):
-        if signature(e.args[mine]) == me and not any(c.data[0] is func for c in _calls([e.args[rest]])) and (e.op != "-" or mine == 0):
+        if signature(e.args[mine]) == me and not any(c.data[0] is func for c in _calls([e.args[rest]])) and (e.op not in ("-", "/") or mine == 0):
             return e.op, e.args[rest]
     return None
 

@@ -25,6 +25,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 _G = f"""g AS (SELECT l_orderkey % {W} AS x, l_linenumber - 1 AS y, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY 1, 2),
 d AS (SELECT x, y, coalesce(v, 0) AS v FROM range({W}) a(x) CROSS JOIN range({H}) b(y) LEFT JOIN g USING (x, y))"""
+_G8 = _G.replace("coalesce(v, 0) AS v", "coalesce(v, 0) % 256 AS v")
 _T = "e AS (SELECT (epoch_us(ts) // 3600000000 - 473352)::BIGINT AS t, sum((value * 100)::BIGINT)::BIGINT AS v FROM events GROUP BY 1), s AS (SELECT t, coalesce(v, 0) AS v FROM range(720) a(t) LEFT JOIN e USING (t))"
 
 
@@ -487,11 +488,12 @@ def _curve(spark, sf_dir):
     return f.realize(spark, W, H)
 
 
-@add("w10_haar", f"WITH {_G} SELECT a.x // 2 AS x, a.y, a.v + b.v AS f_0, (a.v - b.v) AS f_1 FROM d a JOIN d b ON a.x % 2 = 0 AND b.x = a.x + 1 AND a.y = b.y")
+@add("w10_haar", f"WITH {_G} SELECT a.x // 2 AS x, a.y, floor((a.v + b.v) / 2.0::DOUBLE * 1e4 + 0.5)::BIGINT AS f_0, floor((a.v - b.v) / 2.0::DOUBLE * 1e4 + 0.5)::BIGINT AS f_1 FROM d a JOIN d b ON a.x % 2 = 0 AND b.x = a.x + 1 AND a.y = b.y")
 def _haar(spark, sf_dir):
-    g, f = grid(spark, sf_dir), Func("f")
-    f[x, y] = (g[2 * x, y] + g[2 * x + 1, y], g[2 * x, y] - g[2 * x + 1, y])
-    return f.realize(spark, W // 2, H)
+    b, f = boundary.repeat_edge(grid(spark, sf_dir)), Func("f")
+    left, right = cast(f64, b[2 * x, y]), cast(f64, b[2 * x + 1, y])
+    f[x, y] = ((left + right) / 2.0, (left - right) / 2.0)
+    return _fixed(f.realize(spark, W // 2, H), "f_0", "f_1")
 
 
 @add("w10_haar_inverse", f"WITH {_G} SELECT x, y, v AS f FROM d")
@@ -511,26 +513,38 @@ def _erode(spark, sf_dir):
     return f.realize(spark, W, H)
 
 
-@add("w20_edges", f"WITH {_G} SELECT x, y, least(gx * gx + gy * gy, 65535) AS f FROM (SELECT a.x, a.y, sum(b.v * dx)::BIGINT // 2 AS gx, sum(b.v * dy)::BIGINT // 2 AS gy {_AT.format(x='greatest(least(a.x + dx, 63), 0)', y='greatest(least(a.y + dy, 6), 0)')} WHERE abs(dx) + abs(dy) = 1 GROUP BY 1, 2)")
+_CROSS = _AT.format(x=_CLAMP["x"], y=_CLAMP["y"])
+
+
+@add("w20_edges", f"WITH {_G8} SELECT x, y, greatest(least(CASE WHEN gx * gx + gy * gy > 32767 THEN gx * gx + gy * gy - 65536 ELSE gx * gx + gy * gy END, 255), 0)::BIGINT AS f FROM (SELECT a.x, a.y, floor(sum(b.v * dx) / 2.0::DOUBLE)::BIGINT AS gx, floor(sum(b.v * dy) / 2.0::DOUBLE)::BIGINT AS gy {_CROSS} WHERE abs(dx) + abs(dy) = 1 GROUP BY 1, 2)")
 def _edges(spark, sf_dir):
-    b, f = boundary.repeat_edge(grid(spark, sf_dir)), Func("f")
-    half = lambda e: select(e >= 0, e / 2, -((-e) / 2))
-    gx, gy = half(b[x + 1, y] - b[x - 1, y]), half(b[x, y + 1] - b[x, y - 1])
-    f[x, y] = E.minimum_of(gx * gx + gy * gy, 65535)
+    b, f = boundary.repeat_edge(grid(spark, sf_dir, u8)), Func("f")
+    at = lambda i, j: cast(i16, b[x + i, y + j])
+    gx, gy = (at(1, 0) - at(-1, 0)) / 2, (at(0, 1) - at(0, -1)) / 2
+    f[x, y] = cast(u8, E.clamp(gx * gx + gy * gy, 0, 255))
     return f.realize(spark, W, H)
 
 
-@add("w21_unsharp", f"WITH {_G}, {_CX} SELECT d.x, d.y, greatest(least(2 * d.v - c.v, 5000), 0) AS f FROM d JOIN c USING (x, y)")
+@add("w21_unsharp", f"WITH {_G8}, t AS (SELECT x, y, floor(pow(v / 256::DOUBLE, 1.8::DOUBLE) * 256)::BIGINT AS v FROM d) SELECT a.x, a.y, greatest(least(sum(b.v * CASE WHEN dx = 0 AND dy = 0 THEN 9 ELSE -2 END), 255), 0)::BIGINT AS f {_CROSS.replace('FROM d', 'FROM t').replace('JOIN d b', 'JOIN t b')} WHERE abs(dx) + abs(dy) <= 1 GROUP BY 1, 2")
 def _unsharp(spark, sf_dir):
-    b, f = boundary.repeat_edge(grid(spark, sf_dir)), Func("f")
-    f[x, y] = E.clamp(2 * b[x, y] - (b[x - 1, y] + b[x, y] + b[x + 1, y]) / 3, 0, 5000)
+    tone, curved, f, i = Func("tone"), Func("curved"), Func("f"), Var("i")
+    tone[i] = cast(i16, E.power(cast(f64, i) / 256.0, 1.8) * 256.0)
+    tone.compute_root()
+    b = boundary.repeat_edge(grid(spark, sf_dir, u8))
+    curved[x, y] = tone[cast(i32, b[x, y])]
+    f[x, y] = cast(u8, E.clamp(9 * curved[x, y] - 2 * (curved[x - 1, y] + curved[x + 1, y] + curved[x, y - 1] + curved[x, y + 1]), 0, 255))
     return f.realize(spark, W, H)
 
 
-@add("w22_ycc", "SELECT l_orderkey, l_linenumber, ((66 * r + 129 * g + 25 * b + 128) >> 8) + 16 AS f_0, ((-38 * r - 74 * g + 112 * b + 128) >> 8) + 128 AS f_1, ((112 * r - 94 * g - 18 * b + 128) >> 8) + 128 AS f_2 FROM (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT * 5 AS r, l_suppkey % 256 AS g, l_partkey % 256 AS b FROM lineitem)")
+# The constant and the weights of red, green and blue of the three channels.
+YCC = ((16, 0.257, 0.504, 0.098), (128, 0.439, -0.368, -0.071), (128, -0.148, -0.291, 0.439))
+_YCC = ", ".join(f"trunc(({a}::DOUBLE / 255 + ({r}::DOUBLE * r + {g}::DOUBLE * g + {b}::DOUBLE * b)) * 255)::BIGINT AS f_{k}" for k, (a, r, g, b) in enumerate(YCC))
+
+
+@add("w22_ycc", f"SELECT l_orderkey, l_linenumber, {_YCC} FROM (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT * 5 / 255::DOUBLE AS r, l_suppkey % 256 / 255::DOUBLE AS g, l_partkey % 256 / 255::DOUBLE AS b FROM lineitem)")
 def _ycc(spark, sf_dir):
-    r, g, b = (E.Expr("var", (), i32, n) for n in "rgb")
-    parts = [((66 * r + 129 * g + 25 * b + 128) >> 8) + 16, ((-38 * r - 74 * g + 112 * b + 128) >> 8) + 128, ((112 * r - 94 * g - 18 * b + 128) >> 8) + 128]
+    r, g, b = (cast(f64, E.Expr("var", (), i32, n)) / 255.0 for n in "rgb")
+    parts = [cast(u8, (const(a, f64) / 255.0 + (wr * r + wg * g + wb * b)) * 255.0) for a, wr, wg, wb in YCC]
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("bigint") * 5).alias("r"), F.pmod("l_suppkey", F.lit(256)).alias("g"), F.pmod("l_partkey", F.lit(256)).alias("b"))
     return rows.select("l_orderkey", "l_linenumber", *[E.compile(e, lambda n: F.col(n.data) if n.op == "var" else None).alias(f"f_{k}") for k, e in enumerate(parts)])
 
@@ -583,9 +597,9 @@ def _convolution(spark, sf_dir):
     return f.realize(spark, W, H)
 
 
-@add("w31_spread", f"WITH {_G} SELECT a.x, a.y, max(b.v) - min(b.v) AS f {_EDGE} GROUP BY 1, 2")
+@add("w31_spread", f"WITH {_G8} SELECT a.x, a.y, max(b.v) - min(b.v) AS f FROM d a CROSS JOIN range(-2, 3) i(dx) CROSS JOIN range(-2, 3) j(dy) JOIN d b ON b.x = {_CLAMP['x']} AND b.y = {_CLAMP['y']} GROUP BY 1, 2")
 def _spread(spark, sf_dir):
-    b, f, r = boundary.repeat_edge(grid(spark, sf_dir)), Func("f"), RDom((-1, 3), (-1, 3))
+    b, f, r = boundary.repeat_edge(grid(spark, sf_dir, u8)), Func("f"), RDom((-2, 5), (-2, 5))
     f[x, y] = maximum(b[x + r.x, y + r.y]) - minimum(b[x + r.x, y + r.y])
     return f.realize(spark, W, H)
 
@@ -625,11 +639,56 @@ def _gemv_t(spark, sf_dir):
     return _fixed(linear.gemv_transposed(_vectors(spark, sf_dir), "v", (F.col("vec_id") % 7).cast("double"), "k", "f"), "f")
 
 
+@add("w15_gemv_scaled", f"WITH {_M} SELECT vec_id, floor((1.5::DOUBLE * sum(a * (k % 5 - 2)) + 0.5::DOUBLE * (vec_id % 11)) * 1e4 + 0.5)::BIGINT AS f FROM m GROUP BY 1")
+def _gemv_scaled(spark, sf_dir):
+    vector = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: (k % 5 - 2).cast("double"))
+    rows = _vectors(spark, sf_dir).withColumn("y", (F.col("vec_id") % 11).cast("double"))
+    return _fixed(linear.gemv(rows, "v", vector, "f", 1.5, 0.5, F.col("y")).select("vec_id", "f"), "f")
+
+
 @add("w17_gemm", f"WITH {_M} SELECT p.k::BIGINT AS i, q.k::BIGINT AS j, floor(sum(p.a * q.a) * 1e4 + 0.5)::BIGINT AS f FROM m p JOIN m q USING (vec_id) GROUP BY 1, 2")
 def _gemm(spark, sf_dir):
     return _fixed(linear.gram(_vectors(spark, sf_dir), "v", "i", "j", "f"), "f")
 
 
+def _right(k: object, j: object) -> object:
+    return (k * 3 + j * 5) % 7 - 3
+
+
+def _gemm_of(turned_left: bool, turned_right: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, sf_dir):
+        # op(A) is vectors by 64 and op(B) 64 by 8, however they are held.
+        left = _vectors(spark, sf_dir).select("vec_id", F.posexplode("v").alias("c", "a")).select("vec_id", F.col("c").cast("bigint").alias("c"), "a")
+        left = left.toDF(*(("k", "i") if turned_left else ("i", "k")), "a")
+        cells = spark.range(512).select(F.expr("id div 8").alias("k"), (F.col("id") % 8).alias("j"))
+        right = cells.select("k", "j", _right(F.col("k"), F.col("j")).cast("double").alias("a")).toDF(*(("j", "k") if turned_right else ("k", "j")), "a")
+        added = _vectors(spark, sf_dir).select(F.col("vec_id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).withColumn("j", F.col("j").cast("bigint")).withColumn("c", ((F.col("i") + F.col("j")) % 5).cast("double"))
+        return _fixed(linear.gemm(left, right, "f", 1.5, 0.5, added, turned_left, turned_right), "f")
+
+    return run
+
+
+for _a in (False, True):
+    for _b in (False, True):
+        add(f"w17_gemm_{'t' if _a else 'n'}{'t' if _b else 'n'}", f"WITH {_M} SELECT vec_id AS i, j, floor((1.5::DOUBLE * sum(a * ((k * 3 + j * 5) % 7 - 3)) + 0.5::DOUBLE * ((vec_id + j) % 5)) * 1e4 + 0.5)::BIGINT AS f FROM m CROSS JOIN range(8) r(j) GROUP BY vec_id, j")(_gemm_of(_a, _b))
+
+
+@add("w18_fft_c2c", f"WITH {_M}, z AS (SELECT vec_id, k, a AS re, (k % 3 - 1) * a AS im FROM m) SELECT vec_id, w::BIGINT AS w, floor(sum(re * cos(2 * pi() * w * k / 64) + im * sin(2 * pi() * w * k / 64)) * 1e4 + 0.5)::BIGINT AS re, floor(sum(im * cos(2 * pi() * w * k / 64) - re * sin(2 * pi() * w * k / 64)) * 1e4 + 0.5)::BIGINT AS im FROM z CROSS JOIN range(64) q(w) GROUP BY 1, 2")
+def _c2c(spark, sf_dir):
+    return _fixed(linear.spectrum(_complex(spark, sf_dir), "vec_id", "re", "im", 64), "re", "im")
+
+
+@add("w18_fft_inverse", f"WITH {_M} SELECT vec_id, k::BIGINT AS w, floor(a * 1e4 + 0.5)::BIGINT AS re, floor((k % 3 - 1) * a * 1e4 + 0.5)::BIGINT AS im FROM m")
+def _c2c_back(spark, sf_dir):
+    there = linear.spectrum(_complex(spark, sf_dir), "vec_id", "re", "im", 64)
+    back = linear.spectrum(linear.gathered(there, "vec_id", "w", "re", "im"), "vec_id", "re", "im", 64, inverse=True)
+    return _fixed(back.withColumns({n: F.round(n, 9) for n in ("re", "im")}), "re", "im")
+
+
+def _complex(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("vec_id", F.col("v").alias("re"), F.transform("v", lambda a, k: a * (k % 3 - 1)).alias("im"))
+
+
 @add("w18_dft", f"WITH {_M} SELECT vec_id, w::BIGINT AS w, floor(sum(a * cos(2 * pi() * w * k / 64)) * 1e4 + 0.5)::BIGINT AS re, floor(-sum(a * sin(2 * pi() * w * k / 64)) * 1e4 + 0.5)::BIGINT AS im FROM m CROSS JOIN range(64) z(w) GROUP BY 1, 2")
 def _dft(spark, sf_dir):
     return _fixed(linear.dft(_vectors(spark, sf_dir), "vec_id", "v", 64), "re", "im")

@@ -141,16 +141,34 @@ DAUBECHIES = ((1 + math.sqrt(3)) / (4 * math.sqrt(2)), (3 + math.sqrt(3)) / (4 *
 _D = DAUBECHIES
 
 
-@add("w11_daubechies", f"WITH {_G} SELECT a.x, a.y, floor(sum(b.v * CASE k WHEN 0 THEN {_D[0]!r} WHEN 1 THEN {_D[1]!r} WHEN 2 THEN {_D[2]!r} ELSE {_D[3]!r} END::DOUBLE) * 1e3 + 0.5)::BIGINT AS f_0, floor(sum(b.v * CASE k WHEN 0 THEN {_D[3]!r} WHEN 1 THEN {-_D[2]!r} WHEN 2 THEN {_D[1]!r} ELSE {-_D[0]!r} END::DOUBLE) * 1e3 + 0.5)::BIGINT AS f_1 FROM (SELECT x, y FROM range({W // 2}) p(x) CROSS JOIN range({H}) q(y)) a CROSS JOIN range(4) r(k) JOIN d b ON b.x = (2 * a.x + k) % {W} AND b.y = a.y GROUP BY 1, 2")
+_LOW = f"CASE k WHEN 0 THEN {_D[0]!r} WHEN 1 THEN {_D[1]!r} WHEN 2 THEN {_D[2]!r} ELSE {_D[3]!r} END::DOUBLE"
+_HIGH = f"CASE k WHEN 0 THEN {_D[3]!r} WHEN 1 THEN {-_D[2]!r} WHEN 2 THEN {_D[1]!r} ELSE {-_D[0]!r} END::DOUBLE"
+_TAPS = f"t AS (SELECT a.x, a.y, sum(b.v * {_LOW}) AS lo, sum(b.v * {_HIGH}) AS hi FROM (SELECT x, y FROM range({W // 2}) p(x) CROSS JOIN range({H}) q(y)) a CROSS JOIN range(4) r(k) JOIN d b ON b.x = greatest(least(2 * a.x + k - 1, {W - 1}), 0) AND b.y = a.y GROUP BY 1, 2)"
+
+
+def daubechies(spark, sf_dir) -> Func:
+    b, f = boundary.repeat_edge(grid(spark, sf_dir)), Func("f")
+    at = [cast(f64, b[2 * x + k, y]) for k in (-1, 0, 1, 2)]
+    f[x, y] = (at[0] * _D[0] + at[1] * _D[1] + at[2] * _D[2] + at[3] * _D[3], at[0] * _D[3] - at[1] * _D[2] + at[2] * _D[1] - at[3] * _D[0])
+    return f
+
+
+@add("w11_daubechies", f"WITH {_G}, {_TAPS} SELECT x, y, floor(lo * 1e3 + 0.5)::BIGINT AS f_0, floor(hi * 1e3 + 0.5)::BIGINT AS f_1 FROM t")
 def _daubechies(spark, sf_dir):
-    b, f = boundary.repeat_image(grid(spark, sf_dir)), Func("f")
-    at = [cast(f64, b[2 * x + k, y]) for k in range(4)]
-    low = at[0] * _D[0] + at[1] * _D[1] + at[2] * _D[2] + at[3] * _D[3]
-    f[x, y] = (low, at[0] * _D[3] - at[1] * _D[2] + at[2] * _D[1] - at[3] * _D[0])
-    out = f.realize(spark, W // 2, H)
+    out = daubechies(spark, sf_dir).realize(spark, W // 2, H)
     return out.withColumns({n: F.floor(F.col(n) * 1e3 + 0.5).cast("bigint") for n in ("f_0", "f_1")})
 
 
+@add("w11_daubechies_inverse", f"WITH {_G}, {_TAPS} SELECT 2 * a.x + p AS x, a.y, floor(CASE p WHEN 0 THEN {_D[2]!r}::DOUBLE * a.lo + {_D[1]!r}::DOUBLE * a.hi + {_D[0]!r}::DOUBLE * b.lo + {_D[3]!r}::DOUBLE * b.hi ELSE {_D[3]!r}::DOUBLE * a.lo - {_D[0]!r}::DOUBLE * a.hi + {_D[1]!r}::DOUBLE * b.lo - {_D[2]!r}::DOUBLE * b.hi END * 1e3 + 0.25)::BIGINT AS f FROM t a JOIN t b ON b.y = a.y AND b.x = least(a.x + 1, {W // 2 - 1}) CROSS JOIN range(2) o(p)")
+def _daubechies_back(spark, sf_dir):
+    there, f = daubechies(spark, sf_dir).compute_root(), Func("f")
+    a, z = there[x / 2, y], there[E.minimum_of(x / 2 + 1, W // 2 - 1), y]
+    even = a[0] * _D[2] + a[1] * _D[1] + z[0] * _D[0] + z[1] * _D[3]
+    f[x, y] = select(x % 2 == 0, even, a[0] * _D[3] - a[1] * _D[0] + z[0] * _D[1] - z[1] * _D[2])
+    # Whole numbers come back but for rounding, so the digits are cut a quarter above the last one.
+    return f.realize(spark, W, H).withColumn("f", F.floor(F.col("f") * 1e3 + 0.25).cast("bigint"))
+
+
 @add("w16_ger", "SELECT s_suppkey, p.p_size AS p_size, s_nationkey * p.p_size AS f FROM supplier CROSS JOIN (SELECT DISTINCT p_size FROM part) p")
 def _ger(spark, sf_dir):
     left = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
