@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -51,8 +52,10 @@ def dropped(df: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Lets go of the shuffle files of queries that are done, which otherwise stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of holds the shuffles, which the second finds; they go in a thread of their own
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def extended(df: DataFrame, **more: str) -> T.StructType:
