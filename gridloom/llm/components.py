@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.cluster import dropped, stored
+from gridloom.llm.cluster import dropped, released, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,5 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
         last, now = now, stored(small.where("a <> b").distinct(), "edges")
         for df in (last, least, large, lower):
             dropped(df)
+        released(now.sparkSession)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
