@@ -3,8 +3,9 @@
 Pre-tokenisation uses no regular expression. Each code point becomes a symbol (letter, number, space, other white
 space, anything else, an apostrophe that may open a contraction), each symbol is a function from automaton state to
 automaton state, and as composition of such functions is associative, the state before every character of a batch comes
-from a blocked prefix scan in numpy. A table over (state, symbol) then says where a piece starts. Pieces go through a
-cache of merged pieces; only a piece that isn't there runs the pair merging (the tiktoken library's, piece by piece).
+from a blocked prefix scan in numpy. A table over (state, symbol) then says where a piece starts. The distinct pieces of
+a batch go through a cache of merged pieces; only one that isn't there runs the pair merging (the tiktoken library's,
+piece by piece).
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to no bytes; rows are independent, so
 repeated rows give repeated results and an empty table gives an empty one; columns other than the two named are not read.
@@ -34,7 +35,9 @@ LETTER, NUMBER, SPACE, BLANK, OTHER, SEPARATOR, SHORT, LONG = range(8)  # symbol
 FREE, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_SPACE, AFTER_BLANK, ONE_LEFT, TWO_LEFT = range(8)  # states before a symbol
 BLOCK = 64
 SLICE = 1 << 20
-CACHED_CHARS, CACHED_PIECES = 48, 600_000
+#: The first k bytes of eight.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+CACHED_BYTES, CACHED_PIECES, NEW_PIECES = 48, 1_000_000, 65_536
 
 
 @lru_cache(1)
@@ -116,12 +119,12 @@ def piece_starts(symbol: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
-def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The pieces of all texts in order; how many of them lie before each text and in all."""
+def boundaries(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as UTF-8 with a zero byte between two; where each piece starts and stops there; how many pieces lie before each text and in all."""
     whole = "\0".join(texts)
-    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    raw, points = whole.encode(), np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     if not len(points):
-        return [], np.zeros(len(texts) + 1, np.int64)
+        return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     separators = ends[:-1] - 1
     starts = piece_starts(symbols(points, separators))
@@ -129,11 +132,102 @@ def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     real = np.ones(len(starts), bool)
     real[np.searchsorted(starts, separators)] = False
     starts, stops = starts[real], stops[real]
-    return [whole[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.append(np.searchsorted(starts, np.append(0, ends[:-1])), len(starts))
+    before = np.append(np.searchsorted(starts, np.append(0, ends[:-1])), len(starts))
+    if len(raw) > len(points):  # from code points to bytes
+        at = np.append(0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64))
+        starts, stops = at[starts], at[stops]
+    return raw, starts, stops, before
+
+
+def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The pieces of all texts in order; how many of them lie before each text and in all."""
+    raw, starts, stops, before = boundaries(texts)
+    return [raw[a:b].decode() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], before
+
+
+def packed(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each piece: its first eight bytes, the next eight, its size, and a hash of the three. Up to 16 bytes the three tell pieces apart."""
+    windows = np.ndarray(len(raw) + 9, "<u8", raw + bytes(16), strides=(1,))
+    size = stops - starts
+    low = windows[starts] & MASKS[np.minimum(size, 8)]
+    high = windows[np.minimum(starts + 8, len(raw))] & MASKS[np.clip(size - 8, 0, 8)]
+    return low, high, size, (low * np.uint64(0x9E3779B97F4A7C15)) ^ ((high + size.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def distinct(low: np.ndarray, high: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of pieces among which every piece finds its equal, and which of them each piece equals; pieces of over 16 bytes stand for themselves."""
+    order = np.argsort(key)
+    sorted_key = key[order]
+    first = np.append(True, sorted_key[1:] != sorted_key[:-1])
+    which, group = order[first], np.empty(len(size), np.int64)
+    group[order] = np.cumsum(first) - 1
+    of_group = which[group]
+    alone = np.flatnonzero((size > 16) | (low != low[of_group]) | (high != high[of_group]) | (size != size[of_group]))
+    group[alone] = len(which) + np.arange(len(alone))
+    return np.append(which, alone), group
+
+
+class Cache(dict):
+    """From piece to ids (unsigned 32-bit, little-endian): new pieces as a dict, older ones of up to 16 bytes in arrays sorted by their hash."""
 
+    def __init__(self):
+        super().__init__()
+        self._forget()
+
+    def _forget(self) -> None:
+        # One entry that equals no piece.
+        self.low = self.high = self.key = np.zeros(1, np.uint64)
+        self.size, self.at, self.count, self.pool = np.full(1, -1), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def merged(self, piece: bytes) -> list[int]:
+        raise NotImplementedError
+
+    def __missing__(self, piece: bytes) -> bytes:
+        got = array("I", self.merged(piece)).tobytes()
+        if len(piece) <= CACHED_BYTES:
+            self[piece] = got
+        return got
 
-class Vocabulary(dict):
-    """Ranks from a file of base64 tokens; as a dict, the cache from piece to ids (unsigned 32-bit, little-endian)."""
+    def settle(self) -> None:
+        """From the dict into the arrays, which begin anew when they are full."""
+        held = {p: ids for p, ids in self.items() if len(p) <= 16}
+        self.clear()
+        if len(self.key) + len(held) > CACHED_PIECES:
+            self._forget()
+        stops = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))
+        low, high, size, key = packed(b"".join(held), np.append(0, stops[:-1]), stops)
+        count = np.fromiter(map(len, held.values()), np.int64, len(held)) // 4
+        at = len(self.pool) + np.cumsum(count) - count
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(held.values()), "<u4"))
+        order = np.argsort(np.append(self.key, key))
+        for name, new in (("low", low), ("high", high), ("size", size), ("key", key), ("at", at), ("count", count)):
+            setattr(self, name, np.append(getattr(self, name), new)[order])
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each distinct piece looked up once; how many of them lie before each text and in all."""
+        raw, starts, stops, before = boundaries(texts)
+        if not len(starts):
+            return np.zeros(0, "<u4"), before
+        of_piece = packed(raw, starts, stops)
+        which, group = distinct(*of_piece)
+        low, high, size, key = (x[which] for x in of_piece)
+        near = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        at, count = self.at[near], self.count[near]
+        new = np.flatnonzero((self.low[near] != low) | (self.high[near] != high) | (self.size[near] != size))
+        got = [self[raw[a:b]] for a, b in zip(starts[which[new]].tolist(), stops[which[new]].tolist(), strict=True)]
+        count[new] = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        at[new] = len(self.pool) + np.cumsum(count[new]) - count[new]
+        pool = np.append(self.pool, np.frombuffer(b"".join(got), "<u4"))
+        length = count[group]
+        ends = np.cumsum(length)
+        ids = pool[np.repeat(at[group] - ends + length, length) + np.arange(ends[-1])]
+        if len(self) >= NEW_PIECES:
+            self.settle()
+        return ids, np.append(0, ends)[before]
+
+
+class Vocabulary(Cache):
+    """Ranks from a file of base64 tokens; and the cache of what they make of pieces."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -148,20 +242,11 @@ class Vocabulary(dict):
         self.lengths = np.fromiter(map(len, by_id), np.int64, size)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         #: Pair merging of one piece. The pattern and special tokens play no part: pieces are found here.
-        self.merge = tiktoken.Encoding("pieces", pat_str=r"(?s:.)+", mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
-
-    def __missing__(self, piece: str) -> bytes:
-        got = array("I", self.merge(piece.encode())).tobytes()
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = got
-        return got
+        self.merged = tiktoken.Encoding("pieces", pat_str=r"(?s:.)+", mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found, before = pieces(texts)
-        ids = list(map(self.__getitem__, found))
-        return [b"".join(ids[a:b]) for a, b in zip(before.tolist(), before.tolist()[1:], strict=False)]
+        ids, before = self.encode_flat(texts)
+        return [ids[a:b].tobytes() for a, b in zip(before.tolist(), before.tolist()[1:], strict=False)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The tokens' bytes, gathered from the pool by the retained offsets."""

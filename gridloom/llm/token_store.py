@@ -4,7 +4,7 @@ Documents are dealt out by ranges of their key and sorted before they are encode
 keys; a reader that wants a few keys, or only the counts, opens only row groups, pages and columns that hold them.
 
 The ids of a text are those of the tokenizers library: texts are cut into pieces as in :mod:`gridloom.llm.bpe`, and the
-library's model gives the ids of every distinct piece. A text that holds an added token of the file (such as a special
+library's model gives the ids of each distinct piece. A text that holds an added token of the file (such as a special
 one) is given whole to the library, which knows what each of them takes of its surroundings.
 
 Defined results: a null text counts as empty and gives the end id alone; rows with equal keys stay separate rows, side by
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm.bpe import CACHED_CHARS, CACHED_PIECES, pieces
+from gridloom.llm.bpe import Cache
 from gridloom.llm.cluster import cut, ddl, stored, stored_path
 
 #: Of the files. Keys and counts are delta encoded, ids get a dictionary as long as that is small.
@@ -39,7 +39,7 @@ WRITER = {
 }
 
 
-class Pieces(dict):
+class Pieces(Cache):
     """From piece to ids (unsigned 32-bit), for misses by the model of a tokenizer file."""
 
     def __init__(self, path: str):
@@ -55,13 +55,8 @@ class Pieces(dict):
     def of_text(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        got = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = got
-        return got
+    def merged(self, piece: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.letters))]
 
 
 @lru_cache(2)
@@ -73,19 +68,25 @@ def encoded(df: DataFrame, path: str, end: int, key: str = "doc_id", text: str =
     """``key``, ``n_tokens`` and ``ids`` with the end id, in ascending order of ``key`` over the partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, last = tokenizer(path), np.array([end], "<u4").tobytes()
+        ids_of = tokenizer(path)
         for batch in batches:
             for part in cut(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 special = {k: ids_of.of_text(t) for k, t in enumerate(texts) if any(a in t for a in ids_of.added)}
-                found, before = pieces(["" if k in special else t for k, t in enumerate(texts)])
-                ids = list(map(ids_of.__getitem__, found))
-                rows = [b"".join((*ids[a:b], last)) for a, b in zip(before.tolist(), before.tolist()[1:], strict=False)]
-                for k, whole in special.items():
-                    rows[k] = whole + last
-                counts = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-                values = pa.array(np.frombuffer(b"".join(rows), np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+                ids, before = ids_of.encode_flat(["" if k in special else t for k, t in enumerate(texts)])
+                counts = np.diff(before) + 1
+                if special:
+                    edges = before.tolist()
+                    rows = [special[k] if k in special else ids[a:b].tobytes() for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+                    counts = np.fromiter(map(len, rows), np.int64, len(rows)) // 4 + 1
+                    ids = np.frombuffer(b"".join(rows), "<u4")
+                # The end id goes behind each text's own ids.
+                stops = np.cumsum(counts)
+                values = np.full(int(stops[-1]), end, np.int32)
+                own = np.ones(len(values), bool)
+                own[stops - 1] = False
+                values[own] = ids.view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(counts, pa.int32()), lists], [key, "n_tokens", "ids"])
 
     dealt = df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")

@@ -63,6 +63,21 @@ def test_bpe_pieces(library):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode_ordinary(c) for c in cases]
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_bpe_cache(library, monkeypatch, collide):
+    """Pieces give the same ids from the dict, from the arrays, after the arrays began anew, and where all hashes are equal."""
+    monkeypatch.setattr(bpe, "NEW_PIECES", 50)
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 400)
+    if collide:
+        packed = bpe.packed
+        monkeypatch.setattr(bpe, "packed", lambda *at: (*packed(*at)[:3], np.zeros(len(at[1]), np.uint64)))
+    rng, own = np.random.default_rng(3), bpe.Vocabulary(RANKS)
+    parts = ["a", "b", "\0", " ", "é", "中", "😀", "7", "abcdefgh", "ijklmnop", "'s"]
+    for _ in range(30):
+        cases = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(20)]
+        assert [np.frombuffer(g, "<u4").tolist() for g in own.encode(cases)] == [library.encode_ordinary(c) for c in cases]
+
+
 def test_token_store(spark, docs, texts):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32) for r in token_store.written_places(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
