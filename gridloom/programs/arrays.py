@@ -479,15 +479,6 @@ def _hot(spark, sf_dir):
     return f.realize(spark, W, H)
 
 
-@add("w09_tone_curve", f"WITH {_G} SELECT x, y, floor(255 * sqrt((v % 256) / 255.0) + 0.5)::BIGINT AS f FROM d")
-def _curve(spark, sf_dir):
-    lut, f, g, i = Func("lut"), Func("f"), grid(spark, sf_dir, u8), Var("i")
-    lut[i] = cast(i32, E.floor(E.sqrt(cast(f64, i) / 255.0) * 255.0 + 0.5))
-    lut.compute_root()
-    f[x, y] = lut[cast(i32, g[x, y])]
-    return f.realize(spark, W, H)
-
-
 @add("w10_haar", f"WITH {_G} SELECT a.x // 2 AS x, a.y, floor((a.v + b.v) / 2.0::DOUBLE * 1e4 + 0.5)::BIGINT AS f_0, floor((a.v - b.v) / 2.0::DOUBLE * 1e4 + 0.5)::BIGINT AS f_1 FROM d a JOIN d b ON a.x % 2 = 0 AND b.x = a.x + 1 AND a.y = b.y")
 def _haar(spark, sf_dir):
     b, f = boundary.repeat_edge(grid(spark, sf_dir)), Func("f")

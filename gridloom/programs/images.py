@@ -120,22 +120,6 @@ def _bilateral(spark, sf_dir):
     return f.realize(spark, W, H)
 
 
-@add("w07_demosaic_green", f"WITH {_G} SELECT a.x, a.y, CASE WHEN (a.x + a.y) % 2 = 0 THEN any_value(a.v) ELSE sum(b.v)::BIGINT // 4 END AS f {_EDGE} WHERE abs(dx) + abs(dy) = 1 GROUP BY 1, 2")
-def _green(spark, sf_dir):
-    b, f = boundary.repeat_edge(grid(spark, sf_dir)), Func("f")
-    around = (b[x - 1, y] + b[x + 1, y] + b[x, y - 1] + b[x, y + 1]) / 4
-    f[x, y] = select((x + y) % 2 == 0, b[x, y], around)
-    return f.realize(spark, W, H)
-
-
-@add("w08_color_correction", f"WITH {_G} SELECT x, y, floor((v * 3 - (255 - v % 256) * 2 + 16 * (v % 7) + 2048) / 4096)::BIGINT AS f_0, (v + (255 - v % 256) * 5 + 4 * (v % 7)) // 4096 AS f_1 FROM d")
-def _correct(spark, sf_dir):
-    g, f = grid(spark, sf_dir), Func("f")
-    r, gr, b = g[x, y], 255 - g[x, y] % 256, g[x, y] % 7
-    f[x, y] = ((r * 3 - gr * 2 + b * 16 + 2048) / 4096, (r + gr * 5 + b * 4) / 4096)
-    return f.realize(spark, W, H)
-
-
 # The four taps of the Daubechies wavelet.
 DAUBECHIES = ((1 + math.sqrt(3)) / (4 * math.sqrt(2)), (3 + math.sqrt(3)) / (4 * math.sqrt(2)), (3 - math.sqrt(3)) / (4 * math.sqrt(2)), (1 - math.sqrt(3)) / (4 * math.sqrt(2)))
 _D = DAUBECHIES
