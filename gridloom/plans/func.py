@@ -1,8 +1,8 @@
 """Functions over integer coordinates, defined once and updated in order, evaluated over the box that is asked for.
 
 A function without updates is inlined into its callers unless it is marked ``compute_root``. The calls that remain become
-joins: all calls of one callee at constant offsets share one join, fed by one aggregation of shifted copies; other calls
-join on their computed arguments. Each callee is computed over the box that interval analysis says its callers need, and
+joins: all calls of one callee at constant offsets and equal strides share one join, fed by one aggregation of shifted
+copies; other calls join on their computed arguments. Each callee is computed over the box that interval analysis says its callers need, and
 inputs are filtered to that box before anything else. Updates are told apart by shape: sums, products, least and greatest
 become aggregations by the target's coordinates; overwriting becomes "the last in order"; running sums become windows; what
 is left is folded in order, one group of the pure coordinates at a time.
@@ -437,41 +437,54 @@ class Plan:
                 right = computed(self.spark, callee, need)
         width = len(callee.kinds())
         fill = callee.fill if isinstance(callee, Input) else None
-        taps: dict[tuple[str, ...], list[tuple[Expr, tuple[int, ...]]]] = {}
+        taps: dict[tuple[tuple[str, int], ...], list[tuple[Expr, tuple[int, ...]]]] = {}
+        gathers: dict[str, list[Expr]] = {}
         for call in calls:
-            offsets = [_offset(a) for a in call.args]
-            if offsets and all(offsets) and len({v for v, _ in offsets}) == len(offsets):
-                taps.setdefault(tuple(v for v, _ in offsets), []).append((call, tuple(d for _, d in offsets)))
+            places = [_place(a) for a in call.args]
+            if places and all(places) and len({v for v, _, _ in places}) == len(places):
+                taps.setdefault(tuple((v, s) for v, s, _ in places), []).append((call, tuple(d for _, _, d in places)))
             else:
-                self._join_computed(call, right, fill)
-        for names, group in taps.items():
-            self._join_taps(names, group, right, width, fill)
+                gathers.setdefault(",".join(map(signature, call.args)), []).append(call)
+        for group in gathers.values():
+            self._join_computed(group, right, fill)
+        for axes, group in taps.items():
+            self._join_taps(axes, group, right, width, fill)
 
     def _name(self, call: Expr) -> str:
         name = f"_v{len(self.columns)}"
         self.columns[signature(call)] = name
         return name
 
-    def _join_computed(self, call: Expr, right: DataFrame, fill: float | None) -> None:
-        """A gather: joined on the computed places. Spark broadcasts the table if it is small."""
-        keys = [f"_k{k}" for k in range(len(call.args))]
-        left = self.df.select("*", *[compile(a, self.env).cast("bigint").alias(k) for a, k in zip(call.args, keys, strict=True)])
-        name = self._name(call)
-        values = right.select(*[F.col(f"c{k}").alias(key) for k, key in enumerate(keys)], F.col(f"v{call.data[1]}").alias(name))
+    def _join_computed(self, calls: list[Expr], right: DataFrame, fill: float | None) -> None:
+        """A gather: the values of one computed place in one join. Spark broadcasts the table if it is small."""
+        args = calls[0].args
+        keys = [f"_k{k}" for k in range(len(args))]
+        left = self.df.select("*", *[compile(a, self.env).cast("bigint").alias(k) for a, k in zip(args, keys, strict=True)])
+        outs = [(self._name(call), call.data[1]) for call in calls]
+        values = right.select(*[F.col(f"c{k}").alias(key) for k, key in enumerate(keys)], *[F.col(f"v{v}").alias(o) for o, v in outs])
         got = left.join(values, keys, "left") if keys else left.crossJoin(values)  # without coordinates: one row
-        self.df = _filled(got.drop(*keys), [name], fill)
+        self.df = _filled(got.drop(*keys), [o for o, _ in outs], fill)
 
-    def _join_taps(self, names: tuple[str, ...], group: list[tuple[Expr, tuple[int, ...]]], right: DataFrame, width: int, fill: float | None) -> None:
-        """Calls at constant offsets: shifted copies, gathered by site in one aggregation, in one join."""
+    def _join_taps(self, axes: tuple[tuple[str, int], ...], group: list[tuple[Expr, tuple[int, ...]]], right: DataFrame, width: int, fill: float | None) -> None:
+        """Calls at constant offsets and equal strides: shifted copies, gathered by site in one aggregation, in one join."""
+        names = [n for n, _ in axes]
         offsets = sorted({d for _, d in group})
         outs = [(self._name(call), offsets.index(d), call.data[1]) for call, d in group]
+        strided = [(k, s) for k, (_, s) in enumerate(axes) if s > 1]
+
+        def at_sites(df: DataFrame, moved: list[Column], rest: list[Column]) -> DataFrame:
+            """Rows of ``df`` that some site reads, by site; between the strides none does."""
+            for k, s in strided:
+                df = df.where(F.pmod(moved[k], F.lit(s)) == 0)
+            return df.select(*[(F.call_function("div", m, F.lit(s)) if s > 1 else m).alias(n) for m, (n, s) in zip(moved, axes, strict=True)], *rest)
+
         if len(offsets) == 1:
-            near = right.select(*[(F.col(f"c{k}") - d).alias(n) for k, (n, d) in enumerate(zip(names, offsets[0], strict=True))], *[F.col(f"v{v}").alias(o) for o, _, v in outs])
+            near = at_sites(right, [F.col(f"c{k}") - d for k, d in enumerate(offsets[0])], [F.col(f"v{v}").alias(o) for o, _, v in outs])
         else:
             copies = F.explode(F.array(*[F.struct(*[F.lit(-d).cast("bigint").alias(f"d{k}") for k, d in enumerate(off)], F.lit(i).alias("tap")) for i, off in enumerate(offsets)])).alias("_t")
-            shifted = right.select("*", copies).select(*[(F.col(f"c{k}") + F.col(f"_t.d{k}")).alias(n) for k, n in enumerate(names)], F.col("_t.tap").alias("_tap"), *[f"v{k}" for k in range(width)])
+            shifted = at_sites(right.select("*", copies), [F.col(f"c{k}") + F.col(f"_t.d{k}") for k in range(len(axes))], [F.col("_t.tap").alias("_tap"), *[F.col(f"v{k}") for k in range(width)]])
             near = shifted.groupBy(*names).agg(*[F.max(F.when(F.col("_tap") == i, F.col(f"v{v}"))).alias(o) for o, i, v in outs])
-        self.df = _filled(self.df.join(near, list(names), "left"), [o for o, _, _ in outs], fill)
+        self.df = _filled(self.df.join(near, names, "left"), [o for o, _, _ in outs], fill)
 
 
 def _filled(df: DataFrame, names: list[str], fill: float | None) -> DataFrame:
@@ -490,6 +503,21 @@ def _offset(e: Expr) -> tuple[str, int] | None:
     return None
 
 
+def _place(e: Expr) -> tuple[str, int, int] | None:
+    """Variable, stride and constant of ``variable * stride + constant``, for strides above nothing."""
+    if at := _offset(e):
+        return at[0], 1, at[1]
+    if e.op in ("+", "-") and e.args[1].op == "const" and (inner := _place(e.args[0])):
+        return inner[0], inner[1], inner[2] + (e.args[1].data if e.op == "+" else -e.args[1].data)
+    if e.op == "+" and e.args[0].op == "const" and (inner := _place(e.args[1])):
+        return inner[0], inner[1], inner[2] + e.args[0].data
+    if e.op == "*":
+        factor, rest = e.args if e.args[0].op == "const" else e.args[::-1]
+        if factor.op == "const" and factor.data > 0 and (inner := _place(rest)):
+            return inner[0], inner[1] * factor.data, inner[2] * factor.data
+    return None
+
+
 def _aggregate(op: str, value: Column, kind: Type, domain: RDom) -> Column:
     if op == "sum":
         total = F.sum(value if kind.is_float else value.cast("decimal(38,0)") if kind.bits >= 32 else value.cast("bigint"))
