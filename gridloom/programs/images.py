@@ -103,21 +103,44 @@ for _name in _KERNELS:
     _resize(_name)
 
 
-@add("w02_bilateral_grid", f"WITH {_G}, c AS (SELECT x // 8 AS bx, y // 2 AS b, v // 256 AS z, sum(v)::BIGINT AS s, count(*) AS n FROM d GROUP BY 1, 2, 3), k AS (SELECT bx, b, c.z + t.o AS z, sum(s * t.w)::BIGINT AS s, sum(n * t.w)::BIGINT AS n FROM c CROSS JOIN (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(o, w) GROUP BY 1, 2, 3) SELECT d.x, d.y, k.s // k.n AS f FROM d JOIN k ON k.bx = d.x // 8 AND k.b = d.y // 2 AND k.z = d.v // 256")
+CELL, LEVELS = 8, 10
+_FIVE = "(VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1))"
+_CELLS = f"""l AS (SELECT x, y, (v % 1024) / 1024::DOUBLE AS v FROM d),
+h AS (SELECT bx, b, trunc(l.v * {LEVELS} + 0.5)::BIGINT AS z, sum(l.v) AS s, count(*) AS n FROM range(-2, 12) p(bx) CROSS JOIN range(-2, 5) q(b) CROSS JOIN range({CELL}) i(dx) CROSS JOIN range({CELL}) j(dy) JOIN l ON l.x = greatest(least(bx * {CELL} + dx - {CELL // 2}, {W - 1}), 0) AND l.y = greatest(least(b * {CELL} + dy - {CELL // 2}, {H - 1}), 0) GROUP BY 1, 2, 3),
+k AS (SELECT bx + t.o AS bx, b + u.o AS b, z + m.o AS z, sum(s * t.w * u.w * m.w) AS s, sum(n * t.w * u.w * m.w)::DOUBLE AS n FROM h CROSS JOIN {_FIVE} t(o, w) CROSS JOIN {_FIVE} u(o, w) CROSS JOIN {_FIVE} m(o, w) GROUP BY 1, 2, 3),
+c AS (SELECT x, y, l.v * {LEVELS} - trunc(l.v * {LEVELS}) AS zf, (x % {CELL}) / {CELL}::DOUBLE AS xf, (y % {CELL}) / {CELL}::DOUBLE AS yf, trunc(l.v * {LEVELS})::BIGINT AS z FROM l),
+o AS (SELECT x, y, x // {CELL} + i AS bx, y // {CELL} + j AS b, z + e AS z, (CASE i WHEN 0 THEN 1 - xf ELSE xf END) * (CASE j WHEN 0 THEN 1 - yf ELSE yf END) * (CASE e WHEN 0 THEN 1 - zf ELSE zf END) AS w FROM c CROSS JOIN range(2) p(i) CROSS JOIN range(2) q(j) CROSS JOIN range(2) r(e))"""
+
+
+@add("w02_bilateral_grid", f"WITH {_G}, {_CELLS} SELECT o.x, o.y, floor(sum(w * s) / sum(w * n) * 1e4 + 0.5)::BIGINT AS f FROM o JOIN k USING (bx, b, z) GROUP BY 1, 2")
 def _bilateral(spark, sf_dir):
-    g, cells, blurred, f = grid(spark, sf_dir), Func("cells"), Func("blurred"), Func("f")
-    bx, by, z, r = Var("bx"), Var("b"), Var("z"), RDom(g)
-    cells[bx, by, z] = const(0)
-    cells[r.x / 8, r.y / 2, E.clamp(g[r.x, r.y] / 256, 0, 63)] += g[r.x, r.y]
-    number = Func("number")
-    number[bx, by, z] = const(0)
-    number[r.x / 8, r.y / 2, E.clamp(g[r.x, r.y] / 256, 0, 63)] += 1
-    five = lambda h: h[bx, by, z - 2] + 4 * h[bx, by, z - 1] + 6 * h[bx, by, z] + 4 * h[bx, by, z + 1] + h[bx, by, z + 2]
-    blurred[bx, by, z] = (five(cells), five(number))
-    blurred.compute_root()
-    s, n = blurred[x / 8, y / 2, E.clamp(g[x, y] / 256, 0, 63)]
-    f[x, y] = s / E.maximum_of(n, 1)
-    return f.realize(spark, W, H)
+    """Sums and counts of cells of place and brightness, five taps along each axis, read between the cells' centres."""
+    b, cells, number, f = boundary.repeat_edge(grid(spark, sf_dir)), Func("cells"), Func("number"), Func("f")
+    bx, by, z, r = Var("bx"), Var("b"), Var("z"), RDom((0, CELL), (0, CELL))
+    bright = lambda i, j: cast(f64, b[i, j] % 1024) / 1024.0
+    value = bright(bx * CELL + r.x - CELL // 2, by * CELL + r.y - CELL // 2)
+    level = E.clamp(cast(i32, value * float(LEVELS) + 0.5), 0, LEVELS)
+    cells[bx, by, z] = const(0.0, f64)
+    cells[bx, by, level] += value
+    number[bx, by, z] = const(0.0, f64)
+    number[bx, by, level] += const(1.0, f64)
+
+    def blurred(name, at):
+        """``at(k)`` gives the values ``k`` sites on."""
+        out, taps = Func(name), [at(k) for k in range(-2, 3)]
+        out[bx, by, z] = tuple(t[0] + 4.0 * t[1] + 6.0 * t[2] + 4.0 * t[3] + t[4] for t in zip(*taps, strict=True))
+        return out.compute_root()
+
+    deep = blurred("deep", lambda k: (cells[bx, by, z + k], number[bx, by, z + k]))
+    wide = blurred("wide", lambda k: deep[bx + k, by, z])
+    high = blurred("high", lambda k: wide[bx, by + k, z])
+    place = bright(x, y) * float(LEVELS)
+    zi = E.clamp(cast(i32, place), 0, LEVELS)
+    xf, yf, zf = cast(f64, x % CELL) / float(CELL), cast(f64, y % CELL) / float(CELL), place - cast(f64, zi)
+    flat = lambda part, k: E.lerp(*[E.lerp(high[x / CELL, y / CELL + j, zi + k][part], high[x / CELL + 1, y / CELL + j, zi + k][part], xf) for j in (0, 1)], yf)
+    total, count = (E.lerp(flat(part, 0), flat(part, 1), zf) for part in (0, 1))
+    f[x, y] = total / count
+    return _fixed(f.realize(spark, W, H), "f")
 
 
 # The four taps of the Daubechies wavelet.
