@@ -238,7 +238,7 @@ class Vocabulary(Cache):
         for token, rank in self.ranks.items():
             by_id[rank] = token
         #: Decoding: the bytes of all tokens in a row, and where each token's begin and how many they are.
-        self.pool = np.frombuffer(b"".join(by_id), np.uint8)
+        self.spelled = np.frombuffer(b"".join(by_id), np.uint8)
         self.lengths = np.fromiter(map(len, by_id), np.int64, size)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         #: Pair merging of one piece. The pattern and special tokens play no part: pieces are found here.
@@ -249,11 +249,11 @@ class Vocabulary(Cache):
         return [ids[a:b].tobytes() for a, b in zip(before.tolist(), before.tolist()[1:], strict=False)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The tokens' bytes, gathered from the pool by the retained offsets."""
+        """The tokens' bytes, gathered from all tokens' by the retained offsets."""
         flat = np.frombuffer(b"".join(ids), "<u4")
         length = self.lengths[flat]
         ends = np.cumsum(length)
-        out = self.pool[np.repeat(self.offsets[flat] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        out = self.spelled[np.repeat(self.offsets[flat] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         stops = np.append(0, ends)[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
         return [out[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 

@@ -78,6 +78,18 @@ def test_bpe_cache(library, monkeypatch, collide):
         assert [np.frombuffer(g, "<u4").tolist() for g in own.encode(cases)] == [library.encode_ordinary(c) for c in cases]
 
 
+@pytest.mark.parametrize("most", [400, 100_000])
+def test_bpe_decodes_after_settling(monkeypatch, most):
+    """What the cache holds, and that it begins anew, changes nothing for decoding."""
+    monkeypatch.setattr(bpe, "NEW_PIECES", 50)
+    monkeypatch.setattr(bpe, "CACHED_PIECES", most)
+    rng, own = np.random.default_rng(5), bpe.Vocabulary(RANKS)
+    for _ in range(20):
+        cases = ["".join(map(chr, rng.integers(32, 0x3000, 60))) for _ in range(10)]
+        assert own.decode(own.encode(cases)) == [c.encode() for c in cases]
+    assert len(own.key) > 1
+
+
 def test_token_store(spark, docs, texts):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32) for r in token_store.written_places(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
