@@ -18,7 +18,7 @@ from gridloom.plans.func import Func, Input, RDom, Var, argmax, argmin, maximum,
 
 W, H = 64, 7
 x, y, c = Var("x"), Var("y"), Var("c")
-i16, i32, u8, u16, f64 = Int(16), Int(32), UInt(8), UInt(16), Float(64)
+i16, i32, i64, u8, u16, f64 = Int(16), Int(32), Int(64), UInt(8), UInt(16), Float(64)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -295,8 +295,8 @@ def _shifted(spark, sf_dir):
 @add("a14_prefix_scan", f"WITH {_T} SELECT t, sum(v) OVER (ORDER BY t)::BIGINT AS f FROM s")
 def _scan(spark, sf_dir):
     s, f, r, t = series(spark, sf_dir), Func("f"), RDom((0, 720)), Var("t")
-    f[t] = const(0)
-    f[r.x] = f[r.x - 1] + s[r.x]
+    f[t] = cast(i64, const(0))
+    f[r.x] = f[r.x - 1] + cast(i64, s[r.x])
     return f.realize(spark, 720)
 
 

@@ -25,3 +25,16 @@ def test_matches_sql(spark, sf_dir, name):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(sf_dir, t)}.parquet'")
     got, want = programs.QUERIES[name](spark, sf_dir), db.sql(programs.ORACLE_SQL[name])
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["a14_prefix_scan", "o7_running"])
+def test_matches_sql_beyond_32_bits(spark, sf_dir, tmp_path, name):
+    """Sums and products of a larger table: each value fits 32 bits, what is made of them doesn't."""
+    db = duckdb.connect()
+    for t, c in (("lineitem", "l_quantity"), ("events", "value")):
+        db.sql(f"COPY (SELECT * REPLACE ({c} * 20000 AS {c}) FROM '{os.path.join(sf_dir, t)}.parquet') TO '{tmp_path}/{t}.parquet'")
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got, want = programs.QUERIES[name](spark, str(tmp_path)), db.sql(programs.ORACLE_SQL[name])
+    want = rows(want.columns, want.fetchall())
+    assert rows(got.columns, got.collect()) == want
+    assert max(max(map(int, r.strip("[]").split(","))) for r in want[1]) > 1 << 31
