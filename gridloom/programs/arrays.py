@@ -353,9 +353,9 @@ def _newton(spark, sf_dir):
 @add("a21_tuple_reduction", f"WITH {_G} SELECT y, sum(v)::BIGINT AS f_0, sum(v * v)::BIGINT AS f_1 FROM d GROUP BY y")
 def _pair(spark, sf_dir):
     g, f, r = grid(spark, sf_dir), Func("f"), RDom((0, W))
-    f[y] = (const(0), const(0))
+    f[y] = (cast(i64, const(0)), cast(i64, const(0)))
     a, b = f[y]
-    v = g[r.x, y]
+    v = cast(i64, g[r.x, y])
     f[y] = (a + v, b + v * v)
     return f.realize(spark, H)
 
