@@ -101,7 +101,7 @@ def _stencil(spark, sf_dir):
 @add("j04_outer", f"WITH {_G} SELECT a.x AS x, b.x AS y, a.v * b.v AS f FROM d a JOIN d b ON a.y = 0 AND b.y = 1")
 def _outer(spark, sf_dir):
     g, f = grid(spark, sf_dir), Func("f")
-    f[x, y] = g[x, 0] * g[y, 1]
+    f[x, y] = cast(i64, g[x, 0]) * cast(i64, g[y, 1])
     return f.realize(spark, W, W)
 
 

@@ -27,7 +27,7 @@ def test_matches_sql(spark, sf_dir, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["a14_prefix_scan", "a21_tuple_reduction", "o7_running"])
+@pytest.mark.parametrize("name", ["a14_prefix_scan", "a21_tuple_reduction", "j04_outer", "o7_running"])
 def test_matches_sql_beyond_32_bits(spark, sf_dir, tmp_path, name):
     """Sums and products of a larger table: each value fits 32 bits, what is made of them doesn't."""
     db = duckdb.connect()
