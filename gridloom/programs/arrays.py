@@ -673,7 +673,9 @@ def _c2c(spark, sf_dir):
 def _c2c_back(spark, sf_dir):
     there = linear.spectrum(_complex(spark, sf_dir), "vec_id", "re", "im", 64)
     back = linear.spectrum(linear.gathered(there, "vec_id", "w", "re", "im"), "vec_id", "re", "im", 64, inverse=True)
-    return _fixed(back.withColumns({n: F.round(n, 9) for n in ("re", "im")}), "re", "im")
+    # The values are the table's again, in the precision that it holds them.
+    held = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema["embedding"].dataType.elementType
+    return _fixed(back.withColumns({n: F.col(n).cast(held).cast("double") for n in ("re", "im")}), "re", "im")
 
 
 def _complex(spark, sf_dir):

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from gridloom import programs
@@ -38,3 +39,15 @@ def test_matches_sql_beyond_32_bits(spark, sf_dir, tmp_path, name):
     want = rows(want.columns, want.fetchall())
     assert rows(got.columns, got.collect()) == want
     assert max(max(map(int, r.strip("[]").split(","))) for r in want[1]) > 1 << 31
+
+
+def test_inverse_transform_on_halves(spark, tmp_path):
+    """Values that lie on a half of the last digit, and single-precision ones next to one."""
+    rng = np.random.default_rng(2)
+    halves = [[float(rng.integers(-5000, 5000)) / 10000 + 0.00005 for _ in range(64)] for _ in range(60)]
+    halves += [[float(rng.integers(-16, 16) * 2 + 1) / 32 for _ in range(64)] for _ in range(20)]
+    spark.createDataFrame(list(enumerate(halves)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got, want = programs.QUERIES["w18_fft_inverse"](spark, str(tmp_path)), db.sql(programs.ORACLE_SQL["w18_fft_inverse"])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
