@@ -440,3 +440,17 @@ def test_line_dedup_in_rounds(docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "ROUNDS", 1)
     monkeypatch.setattr(line_dedup, "PAIR_ROUNDS", 3)
     same(line_dedup.report(docs).collect(), want)
+
+
+def test_line_dedup_in_rounds(docs, monkeypatch):
+    """Keys, texts and pairs go to disk one part at a time, and how many parts there are changes no result."""
+    names, stored = Counter(), line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: (names.update([name]), stored(df, name))[1])
+    for module in (line_dedup, components):
+        monkeypatch.setattr(module, "released", lambda spark: None)
+    want = line_dedup.report(docs).collect()
+    assert names["line-buckets"] == names["line-texts"] == 2 and names["line-links"] % 4 == 0 < names["line-links"]
+    assert any(r.n_removed for r in want)
+    monkeypatch.setattr(line_dedup, "ROUNDS", 1)
+    monkeypatch.setattr(line_dedup, "PAIR_ROUNDS", 3)
+    same(line_dedup.report(docs).collect(), want)
