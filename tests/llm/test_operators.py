@@ -454,3 +454,22 @@ def test_line_dedup_in_rounds(docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "ROUNDS", 1)
     monkeypatch.setattr(line_dedup, "PAIR_ROUNDS", 3)
     same(line_dedup.report(docs).collect(), want)
+
+
+def test_lines_that_share_a_run_make_no_pairs(spark, monkeypatch):
+    """Lines with a run in common and nothing else don't meet in pairs, and similar lines among them do."""
+    rng, rows, stored = random.Random(5), Counter(), line_dedup.stored
+    lines = [" ".join(["alpha beta gamma", *(f"w{rng.randrange(10**6)}" for _ in range(17))]) for _ in range(60)]
+    lines += [lines[3].replace(" w", " v", 1), lines[8] + " more"]
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    monkeypatch.setattr(line_dedup, "COMMON", 1000)
+    for module in (line_dedup, components):
+        monkeypatch.setattr(module, "released", lambda spark: None)
+    got = {r.doc_id for r in line_dedup.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert got == {60, 61} and rows["line-stars"] + rows["line-pairs"] <= 10
