@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.cluster import cut, dropped, map_text, stored
+from gridloom.llm.cluster import cut, dropped, map_text, released, stored
 from gridloom.llm.components import components
 
 #: The sketch keeps four bits of each of so many slots, sixteen slots in a long.
@@ -255,16 +255,21 @@ def _judged(df: DataFrame, key: str, text: str, size: int, percent: int) -> Data
     keys = one.select("key", "doc", F.explode("bands").alias("bucket"))
     buckets = keys.groupBy("bucket").agg(F.min("key").alias("rep"), F.max("key").alias("last"), F.count("*").alias("n")).where("rep <> last")
     members = stored(keys.join(buckets.drop("last"), "bucket"), "buckets")
+    # What one step has shuffled goes before the next one shuffles.
+    released(df.sparkSession)
 
     # Sets of all that share a bucket, from one pass over the texts. The join is always by shuffle: its cost follows the input.
     texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sets = stored(sets_of(texts.join(members.select(F.col("doc").alias("key")).distinct().hint("merge"), "key", "left_semi"), "key", "text", size).dropDuplicates(["key"]), "sets")
+    released(df.sparkSession)
     done = [classes, members, sets]
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         tried = stored(pairs.select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct(), "pairs")
+        released(df.sparkSession)
         found = stored(_confirmed(tried, sets, percent), "links")
         dropped(tried)
+        released(df.sparkSession)
         done.append(found)
         return found
 

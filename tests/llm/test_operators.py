@@ -473,3 +473,13 @@ def test_lines_that_share_a_run_make_no_pairs(spark, monkeypatch):
         monkeypatch.setattr(module, "released", lambda spark: None)
     got = {r.doc_id for r in line_dedup.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed > 0").collect()}
     assert got == {60, 61} and rows["line-stars"] + rows["line-pairs"] <= 10
+
+
+def test_near_duplicates_release_each_step(docs, monkeypatch):
+    """No shuffle of an earlier step is still held while sets are compared."""
+    seen, stored = [], superminhash.stored
+    monkeypatch.setattr(superminhash, "stored", lambda df, name: (seen.append(name), stored(df, name))[1])
+    monkeypatch.setattr(superminhash, "released", lambda spark: seen.append("released"))
+    superminhash.groups(docs).collect()
+    assert "links" in seen and all(seen[k - 1] == seen[k + 1] == "released" for k, name in enumerate(seen) if name == "links")
+    assert seen[seen.index("buckets") + 1] == seen[seen.index("sets") + 1] == "released"
