@@ -483,3 +483,26 @@ def test_near_duplicates_release_each_step(docs, monkeypatch):
     superminhash.groups(docs).collect()
     assert "links" in seen and all(seen[k - 1] == seen[k + 1] == "released" for k, name in enumerate(seen) if name == "links")
     assert seen[seen.index("buckets") + 1] == seen[seen.index("sets") + 1] == "released"
+
+
+def test_near_copies_of_a_line_meet_in_few_pairs(spark, monkeypatch):
+    """Near-copies that differ from each other by about the edits allowed are connected without comparing all of them with each other; long lines with a word in common don't meet."""
+    rng, rows, stored = random.Random(7), Counter(), line_dedup.stored
+    base, lines = [f"w{rng.randrange(10**6)}" for _ in range(80)], []
+    for _ in range(200):
+        w = list(base)
+        for k in rng.sample(range(80), rng.randrange(3, 10)):
+            w[k] = f"v{rng.randrange(10**6)}"
+        lines.append(" ".join(w))
+    lines += [" ".join(["alpha beta gamma", *(f"x{rng.randrange(10**6)}" for _ in range(250))]) for _ in range(40)]
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    for module in (line_dedup, components):
+        monkeypatch.setattr(module, "released", lambda spark: None)
+    got = {r.doc_id for r in line_dedup.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert got == set(range(1, 200)) and rows["line-pairs"] == 0 and rows["line-buckets"] < 200 * 33 + 40 * 2
