@@ -506,3 +506,9 @@ def test_near_copies_of_a_line_meet_in_few_pairs(spark, monkeypatch):
         monkeypatch.setattr(module, "released", lambda spark: None)
     got = {r.doc_id for r in line_dedup.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed > 0").collect()}
     assert got == set(range(1, 200)) and rows["line-pairs"] == 0 and rows["line-buckets"] < 200 * 33 + 40 * 2
+
+
+def test_buckets_of_the_same_lines_pick_different_ones(spark):
+    """Classes that share many buckets are compared with more than one of them."""
+    keys = spark.createDataFrame([(b, k) for b in range(1, 41) for k in (11, 22, 33, 44)], "bucket long, id long")
+    assert len({r.rep for r in line_dedup._buckets(keys).collect()}) > 1
