@@ -24,7 +24,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from gridloom.llm.cluster import cut, ddl, extended, map_text
+from gridloom.llm.cluster import cut, ddl, extended, map_text, trimmed
 
 # Unicode's White_Space property.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288)
@@ -282,5 +282,6 @@ def decode(df: DataFrame, path: str) -> DataFrame:
             for part in cut(batch, "ids", SLICE):
                 got = vocabulary(path).decode([x or b"" for x in part.column("ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], [*part.schema.names, "decoded"])
+        trimmed()
 
     return df.mapInArrow(run, extended(df, decoded="binary"))

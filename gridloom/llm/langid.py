@@ -26,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.cluster import cut, ddl, map_text
+from gridloom.llm.cluster import cut, ddl, map_text, trimmed
 
 #: Trigrams are hashed into this many buckets; weight of a bucket that a language lacks; steps of EM.
 BUCKETS, SMOOTH, STEPS = 1 << 16, 0.5, 12
 UNKNOWN = "und"
+#: Bytes of text whose trigrams are held at once, in training and in prediction: a prediction holds some figures for each distinct trigram and language.
+TRAIN_BYTES, PREDICT_BYTES = 1 << 18, 1 << 17
 
 
 @lru_cache(1)
@@ -76,13 +78,14 @@ def counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in cut(batch, "text"):
+            for part in cut(batch, "text", TRAIN_BYTES):
                 grams, owner = trigrams([t or "" for t in part.column("text").to_pylist()])
                 names = pc.dictionary_encode(part.column("lang"))
                 codes = names.indices.to_numpy(zero_copy_only=False)
                 for code, name in enumerate(names.dictionary.to_pylist()):
                     got = np.bincount(grams[codes[owner] == code], minlength=BUCKETS)
                     sums[name] = sums[name] + got if name in sums else got
+        trimmed()
         for name, got in sums.items():
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], ["lang", "gram", "n"])
@@ -164,7 +167,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         sets = [[{"lang": names[k], "share": float(row[k])} for k in np.flatnonzero(row)] for row in share]
         yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(names[top], pa.string()), pa.array(share.max(1, initial=0), pa.float64()), pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], [key, "lang_pred", "score", "languages"])
 
-    return map_text(df, key, text, run, f"`{key}` {ddl(df, key)}, lang_pred string, score double, languages array<struct<lang:string,share:double>>", 1 << 19)
+    return map_text(df, key, text, run, f"`{key}` {ddl(df, key)}, lang_pred string, score double, languages array<struct<lang:string,share:double>>", PREDICT_BYTES)
 
 
 def labelled(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -512,3 +512,21 @@ def test_buckets_of_the_same_lines_pick_different_ones(spark):
     """Classes that share many buckets are compared with more than one of them."""
     keys = spark.createDataFrame([(b, k) for b in range(1, 41) for k in (11, 22, 33, 44)], "bucket long, id long")
     assert len({r.rep for r in line_dedup._buckets(keys).collect()}) > 1
+
+
+def test_language_holds_little_at_once(spark, monkeypatch):
+    """A worker that predicts languages needs few times the memory of its slice, as it stands beside other operators' workers."""
+    import tracemalloc
+
+    most, map_text = [], langid.map_text
+    monkeypatch.setattr(langid, "map_text", lambda *a: (most.append(a[5]), map_text(*a))[1])
+    rng = np.random.default_rng(5)
+    model = langid.Model(tuple(f"l{k:02d}" for k in range(20)), rng.random((langid.BUCKETS, 20), np.float32))
+    langid.predict(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2048))) for _ in range(most[0] // 2048)]
+    langid.letters()
+    tracemalloc.start()
+    langid.infer(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
