@@ -530,3 +530,25 @@ def test_language_holds_little_at_once(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6
+
+
+def test_line_dedup_forms_pairs_once(spark, monkeypatch):
+    """However many rounds there are, each class's pairs are formed and sorted once; classes go by numbers that lie close together."""
+    seen, stored, near = Counter(), line_dedup.stored, []
+    lines = [" ".join(f"w{k}x{j}" for j in range(20)) for k in range(30)]
+    lines += [f"{lines[4]} more", lines[9]]
+
+    def counted(df, name):
+        out = stored(df, name)
+        seen[name] += 1
+        if name == "line-texts":
+            near.extend(r.id for r in out.select("id").collect())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    monkeypatch.setattr(line_dedup, "ROUNDS", 3)
+    for module in (line_dedup, components):
+        monkeypatch.setattr(module, "released", lambda spark: None)
+    got = {r.doc_id for r in line_dedup.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert got == {30, 31} and seen["line-keys"] == 1 and seen["line-buckets"] == 3
+    assert len(set(near)) == 31 and 0 <= min(near) and max(near) < 3 << 40
